@@ -20,7 +20,7 @@ def length_bonus(text: Column) -> Column:
 
 
 def weighted_score(
-    pain: Column, demand: Column, n_queries: Column, points: Column, text: Column,
+    pain: Column, demand: Column, n_queries: Column, engaged: Column, length: Column,
     settings: Settings,
 ) -> Column:
     """Score before the topic multiplier.  The order of operations fixes the last bits."""
@@ -28,8 +28,8 @@ def weighted_score(
         F.lit(settings.pain_weight) * pain * 8
         + F.lit(settings.demand_weight) * demand * 15
         + F.lit(settings.cross_query_weight) * n_queries * 4
-        + F.lit(settings.engagement_weight) * engagement(points) * 2
-        + length_bonus(text)
+        + F.lit(settings.engagement_weight) * engaged * 2
+        + length
     )
 
 

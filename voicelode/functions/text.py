@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voicelode import values
 
@@ -38,7 +39,7 @@ def count_terms(text: Column, terms) -> Column:
     return total
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

@@ -91,8 +91,7 @@ def response_text(response: Column) -> Column:
 def _items(text: Column) -> Column:
     # A bare object would also parse as one item, so the outer brackets are required.
     is_array = F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]"))
-    schema = f"array<struct<{schemas.RESPONSE_ITEM.simpleString()[len('struct<'):-1]}>>"
-    return F.when(is_array, F.from_json(text, schema))
+    return F.when(is_array, F.from_json(text, schemas.RESPONSE_ITEMS))
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -111,7 +110,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
     parsed = (
         responses.withColumn("text", response_text(F.col("response")))
-        .select("topic", "batch", F.posexplode(_items(F.col("text"))).alias("pos", "item"))
+        .select("topic", "batch", F.posexplode_outer(_items(F.col("text"))).alias("pos", "item"))
         .filter("item is not null")
         .select(
             "topic", "batch", "pos",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voicelode.functions.scores import round_cents, weighted_score
+from voicelode.functions.scores import engagement, length_bonus, round_cents, weighted_score
 from voicelode.functions.text import count_terms, scoring_text
 from voicelode.functions.topics import (
     TopicTerms,
@@ -16,15 +16,27 @@ from voicelode.functions.topics import (
 from voicelode.settings import Settings
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add computed columns that later filters cannot repeat.
+
+    A filter on a projected column is moved below the projection with a copy of the whole
+    expression, so a filter on a score would scan the text for every term again.  As the
+    fields of a one-element array the columns are made once per row, in generated code.
+    """
+    fields = [expr.alias(name) for name, expr in columns.items()]
+    return df.select("*", F.inline(F.array(F.struct(*fields))))
+
+
 def pain_demand_counts(posts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Add pain_score and demand_score."""
-    text = scoring_text(F.col("title"), F.col("body"))
-    return posts.withColumns(
+    text = F.col("_text")
+    return compute_once(
+        posts.withColumn("_text", scoring_text(F.col("title"), F.col("body"))),
         {
             "pain_score": count_terms(text, settings.pain_terms),
             "demand_score": count_terms(text, settings.demand_terms),
-        }
-    )
+        },
+    ).drop("_text")
 
 
 def score_posts(
@@ -58,23 +70,22 @@ def score_posts(
     else:
         terms = TopicTerms.of(posts.sparkSession, topic) if topic else None
         relevance = topic_relevance(text, terms)
-    counts = {
-        "pain_score": count_terms(text, settings.pain_terms),
-        "demand_score": count_terms(text, settings.demand_terms),
-        "_relevance": relevance,
-    }
-    n_queries = F.coalesce(F.size("matched_queries"), F.lit(0))
-    n_queries = F.when(n_queries < 0, F.lit(0)).otherwise(n_queries)
+    n_queries = F.greatest(F.coalesce(F.size("matched_queries"), F.lit(0)), F.lit(0))
+    scored = compute_once(
+        scored,
+        {
+            "pain_score": count_terms(text, settings.pain_terms),
+            "demand_score": count_terms(text, settings.demand_terms),
+            "topic_relevance": relevance,
+            "_queries": n_queries,
+            "_engagement": engagement(F.col("points")),
+            "_length": length_bonus(text),
+        },
+    )
     raw = weighted_score(
-        F.col("pain_score"), F.col("demand_score"), n_queries, F.col("points"), text, settings
+        F.col("pain_score"), F.col("demand_score"), F.col("_queries"), F.col("_engagement"),
+        F.col("_length"), settings,
     )
-    return (
-        scored.withColumns(counts)
-        .withColumns(
-            {
-                "relevance_score": round_cents(raw * F.col("_relevance")),
-                "topic_relevance": round_cents(F.col("_relevance")),
-            }
-        )
-        .drop("_text", "_relevance", "_terms")
+    return scored.withColumn("relevance_score", round_cents(raw * F.col("topic_relevance"))).drop(
+        "_text", "_terms", "_queries", "_engagement", "_length"
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voicelode import schemas
 from voicelode.operators.collapse import first_per_key
@@ -44,11 +45,11 @@ class PostStore:
             return self.spark.createDataFrame([], schema)
         if but is not None:
             stored = stored.filter(F.col("load_id") != but)
-        return stored.select(*schema.fieldNames())
+        return stored.select(*StructType.fromDDL(schema).fieldNames())
 
     def write(self, df: DataFrame, table: str, load_id: str) -> None:
         """Write one load of a table; a repeated load replaces itself."""
-        wanted = [f for f in TABLES[table].fields if f.name != "load_id"]
+        wanted = [f for f in StructType.fromDDL(TABLES[table]).fields if f.name != "load_id"]
         columns = [
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in wanted
