@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from checks import findings, queries
+from checks import findings, landed, queries
 from checks.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "findings", "queries"]
+__all__ = ["ORACLES", "QUERIES", "findings", "landed", "queries"]
