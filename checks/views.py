@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voicelode.settings import Settings
+from voicelode.sources.scan import read_texts
 
 # The tables hold invented words, so the terms are ones that occur in them.
 PAIN = ("hate", "worthless", "license", "free", "best")
@@ -32,7 +33,8 @@ BOOLEAN_QUERIES = [
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return read_texts(spark, path) if name in ("documents", "pages") else spark.read.parquet(path)
 
 
 # --- posts -----------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
     Rows are range-partitioned, sorted and numbered inside their partition, and that
     layout is written down.  Then the sizes of the partitions before it are added to each
-    row's number; there are as many sizes as partitions.  Pass narrow rows: key and order
-    columns.
+    row's number; only these sizes, one per partition, pass through the driver.  Pass
+    narrow rows: key and order columns.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -42,16 +43,15 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
             "_at": F.col("_no").bitwiseAND(F.lit((1 << 33) - 1)),
         }
     )
-    sizes = laid_out.groupBy("_part").agg((F.max("_at") + 1).alias("_size"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
-    starts = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
-    return (
-        laid_out.join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + F.col("_at") + 1)
-        .drop("_no", "_part", "_at", "_start")
-    )
+    sizes = laid_out.groupBy("_part").agg((F.max("_at") + 1).alias("size")).collect()
+    starts, total = [0] * parts, 0
+    for row in sorted(sizes, key=lambda r: r["_part"]):
+        starts[row["_part"]] = total
+        total += row["size"]
+    # a literal per partition, so that the result stays a projection of a table whose size
+    # the optimizer knows
+    start = F.element_at(F.lit(np.array(starts, dtype="int64")), (F.col("_part") + 1).cast("int"))
+    return laid_out.withColumn(name, start + F.col("_at") + 1).drop("_no", "_part", "_at")
 
 
 def number_rows_within(
