@@ -304,15 +304,20 @@ def build_prompts(spark, sf):
     ).select("topic", "batch", big("pos"), "post.*")
 
 
-def _counting_model(prompt: str) -> str:
+def counting_model():
     """Stands in for a model: one finding per prompt, and a failure for one topic."""
-    if '"que los"' in prompt:
-        raise RuntimeError("no answer")
-    found = json.loads(prompt.split("\nPosts:\n")[-1])
-    return "```json\n" + json.dumps(
-        [{"description": f"{len(found)} posts", "unique_users": len(found),
-          "source_urls": [p["url"] for p in found]}]
-    ) + "\n```"
+
+    def answer(prompt: str) -> str:
+        if '"que los"' in prompt:
+            raise RuntimeError("no answer")
+        found = json.loads(prompt.split("\nPosts:\n")[-1])
+        finding = {
+            "description": f"{len(found)} posts", "unique_users": len(found),
+            "source_urls": [p["url"] for p in found],
+        }
+        return "```json\n" + json.dumps([finding]) + "\n```"
+
+    return answer
 
 
 @query(f"""with {SELECTED_BY_TOPIC_SQL}, b as (select topic, (rank - 1) // 25 as batch,
@@ -321,7 +326,7 @@ def _counting_model(prompt: str) -> str:
  select row_number() over (order by topic, batch) as ord, topic, cast(batch as bigint) as batch,
   n || ' posts' as description, n as unique_users, urls as source_urls from b""")
 def extract_points(spark, sf):
-    found = extract.extract_points(batched_by_topic(spark, sf), _counting_model, SETTINGS)
+    found = extract.extract_points(batched_by_topic(spark, sf), counting_model(), SETTINGS)
     return found.select(
         "ord", "topic", big("batch"), "description", big("unique_users"),
         joined("source_urls").alias("source_urls"),

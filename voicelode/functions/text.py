@@ -39,9 +39,12 @@ def count_terms(text: Column, terms) -> Column:
     return total
 
 
-@F.pandas_udf(T.StringType())
-def _decode_entities(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _entity_decoder():
+    # a local function travels to the executors by value, so they need no copy of this package
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(decode, T.StringType())
 
 
 def decode_entities(col: Column) -> Column:
@@ -55,7 +58,7 @@ def decode_entities(col: Column) -> Column:
     common = col
     for entity, char in values.COMMON_ENTITIES:
         common = F.replace(common, F.lit(entity), F.lit(char))
-    return F.coalesce(_decode_entities(rare), common)
+    return F.coalesce(_entity_decoder()(rare), common)
 
 
 def clean_html(col: Column) -> Column:
