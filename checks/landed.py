@@ -22,7 +22,7 @@ from checks.queries import (
 )
 from checks.views import SETTINGS, posts, table
 from voicelode.operators import extract
-from voicelode.operators.collapse import collapse_hits
+from voicelode.operators.collapse import collapse_hits, first_per_key
 from voicelode.scratch import scratch_path
 from voicelode.sources import imports, payloads
 from voicelode.sources.store import PostStore
@@ -138,8 +138,11 @@ def reddit_posts(spark, sf):
 
 
 def _talk(spark, sf, entry: Column) -> DataFrame:
-    # a conversation has a handful of turns and stands for the comments of one post
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(
+    # a conversation stands for the comments of one post; a response holds the first ten
+    talk = first_per_key(
+        table(spark, sf, "conversations"), ["conv_id"], [F.col("turn").asc()], n=10
+    )
+    return talk.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", entry.alias("entry")))).alias("turns")
     ).select(text_of(F.col("conv_id")).alias("post_id"), F.col("turns.entry").alias("entries"))
 

@@ -14,6 +14,7 @@ from voicelode.functions import text as text_functions
 from voicelode.functions import topics as topic_functions
 from voicelode.functions import urls as url_functions
 from voicelode.operators import collapse, filters, ranking, report, scoring, tables
+from voicelode.scratch import materialize
 from voicelode.sources.searchplan import TEMPLATES, search_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,9 +316,7 @@ def score_posts_by_topic(spark, sf):
 @query(f"""with {SCORED_SQL} select id, relevance_score,
  row_number() over (order by relevance_score desc, seq) as rank from scored""")
 def rank_posts(spark, sf):
-    narrow = scored(spark, sf).select("id", "relevance_score", "seq")
-    ranked = ranking.number_rows(narrow, ranking.relevance_order(), "rank")
-    return ranked.select("id", "relevance_score", "rank")
+    return ranking.rank_table(scored(spark, sf)).select("id", "relevance_score", "rank")
 
 
 @query(f"""with {BY_TOPIC_SQL} select id, relevance_score, seq from scored
@@ -411,7 +410,7 @@ _BATCH_SQL = """stored as (select id, relevance_score, seq from scored where seq
 
 
 def _stored_and_batch(spark, sf):
-    rows = scored(spark, sf).select("id", "relevance_score", "seq")
+    rows = materialize(scored(spark, sf).select("id", "relevance_score", "seq"), "scores")
     copies = rows.filter("seq % 2 = 0").select(
         "id", (F.col("relevance_score") + F.col("seq") % 7).alias("relevance_score"),
         (F.col("seq") + 1000000).alias("seq"),

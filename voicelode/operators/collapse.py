@@ -9,14 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key.
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
+    """The first row, or the first `n` rows, of each key.
 
-    Spark turns `row_number() = 1` into a group limit that also runs before the
-    shuffle, so a hot key sends at most one row per map task.
+    Spark turns the bound on the row number into a group limit that also runs before the
+    shuffle, so a hot key sends at most `n` rows per map task.
     """
     numbered = df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return numbered.filter("_n = 1").drop("_n")
+    return numbered.filter(F.col("_n") <= n).drop("_n")
 
 
 def collapse_hits(hits: DataFrame, keep: str = "all", keys: list[str] | None = None) -> DataFrame:

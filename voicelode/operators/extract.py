@@ -70,7 +70,9 @@ def call_model(prompts: DataFrame, fn: Callable[[str], str]) -> DataFrame:
                     errors.append(str(problem))
             yield frame[["topic", "batch"]].assign(response=answers, error=errors)
 
-    spread = prompts.repartition("topic", "batch")
+    # a fixed number of partitions, which adaptive execution leaves apart
+    cores = prompts.sparkSession.sparkContext.defaultParallelism
+    spread = prompts.repartition(cores, "topic", "batch")
     schema = "topic string, batch int, response string, error string"
     return materialize(spread.mapInPandas(run, schema), "responses")
 

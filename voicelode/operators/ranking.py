@@ -21,6 +21,16 @@ def rank_posts(scored: DataFrame) -> DataFrame:
     return scored.orderBy(*relevance_order())
 
 
+def rank_table(scored: DataFrame) -> DataFrame:
+    """(id, relevance_score, seq, rank) of all posts, ranks from 1.
+
+    The narrow rows are written first: range partitioning reads its input twice, once for
+    a sample, and would score every text twice.
+    """
+    narrow = materialize(scored.select("id", "relevance_score", "seq"), "ranked")
+    return number_rows(narrow, relevance_order(), "rank")
+
+
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Number all rows 1..n in a total order without a window over the whole table.
 
@@ -54,17 +64,26 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return laid_out.withColumn(name, start + F.col("_at") + 1).drop("_no", "_part", "_at")
 
 
+MAX_LARGE_GROUPS = 100
+
+
 def number_rows_within(
     df: DataFrame, group: Column, order: list[Column], name: str
 ) -> DataFrame:
-    """Number rows 1..n inside each of a few large groups, again without one task per group."""
+    """Number rows 1..n inside each of a few large groups, without one task per group.
+
+    For many groups a window partitioned by the group is the right tool; more than
+    `MAX_LARGE_GROUPS` are refused.
+    """
     numbered = number_rows(df.withColumn("_g", group), [F.col("_g").asc(), *order], "_all")
-    firsts = numbered.groupBy("_g").agg(F.min("_all").alias("_first"))
-    return (
-        numbered.join(firsts, "_g")
-        .withColumn(name, F.col("_all") - F.col("_first") + 1)
-        .drop("_g", "_all", "_first")
-    )
+    firsts = numbered.groupBy("_g").agg(F.min("_all").alias("first"))
+    firsts = firsts.limit(MAX_LARGE_GROUPS + 1).collect()
+    if len(firsts) > MAX_LARGE_GROUPS:
+        raise ValueError(f"more than {MAX_LARGE_GROUPS} groups")
+    first = F.lit(None).cast("bigint")
+    for row in firsts:
+        first = F.when(F.col("_g") == row["_g"], F.lit(row["first"])).otherwise(first)
+    return numbered.withColumn(name, F.col("_all") - first + 1).drop("_g", "_all")
 
 
 def select_for_analysis(

@@ -60,14 +60,20 @@ def transparency(
     return of_posts.unionAll(of_points).filter(~optional | (F.col("value") > 0))
 
 
-def run_summary(collected: DataFrame, scored: DataFrame, settings: Settings = Settings()):
+def run_summary(
+    collected: DataFrame, scored: DataFrame, settings: Settings = Settings()
+) -> DataFrame:
     """collected, new, above_threshold of a run in one row."""
+    zero = F.lit(0).cast("bigint")
+    total = collected.agg(F.count("*").alias("collected")).select(
+        "collected", zero.alias("new"), zero.alias("above_threshold")
+    )
     new = scored.agg(
         F.count("*").alias("new"),
         F.count_if(F.col("relevance_score") >= settings.min_score).alias("above_threshold"),
-    )
-    total = collected.agg(F.count("*").alias("collected"))
-    return total.withColumn("_k", F.lit(1)).join(new.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    ).select(zero.alias("collected"), "new", "above_threshold")
+    names = ["collected", "new", "above_threshold"]
+    return total.unionAll(new).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def top_posts_table(scored: DataFrame, n: int = 20) -> DataFrame:

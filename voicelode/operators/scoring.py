@@ -13,6 +13,7 @@ from voicelode.functions.topics import (
     topic_relevance_by_row,
     topic_terms,
 )
+from voicelode.scratch import materialize
 from voicelode.settings import Settings
 
 
@@ -48,18 +49,18 @@ def score_posts(
     """Add pain_score, demand_score, topic_relevance and relevance_score.
 
     With `topic` all posts are scored against that topic, in one projection over the
-    scan.  With `topics` (column `topic`, one row per topic) each post is scored against
-    the topic it carries: the topic terms are parsed once per topic and joined by equality,
-    and the optimizer chooses the join by the measured size of the topic table.
+    scan.  With `topics` (column `topic`) each post is scored against the topic it carries:
+    the terms are parsed once per topic and written down, so the optimizer knows the size of
+    that table when it chooses the join.  A small one is broadcast and the posts stay where
+    they are, however many of them share a topic.
     """
     text = scoring_text(F.col("title"), F.col("body"))
     scored = posts.withColumn("_text", text)
     text = F.col("_text")
     if topics is not None:
         terms = topics.select("topic").distinct()
-        terms = terms.select("topic", F.struct(
-            *[expr.alias(name) for name, expr in topic_terms(F.col("topic")).items()]
-        ).alias("_terms"))
+        parsed = [expr.alias(name) for name, expr in topic_terms(F.col("topic")).items()]
+        terms = materialize(terms.select("topic", F.struct(*parsed).alias("_terms")), "terms")
         scored = scored.join(terms, "topic", "left")
         graded = topic_relevance_by_row(
             text, F.col("_terms.words"), F.col("_terms.phrases"), F.col("_terms.stems")

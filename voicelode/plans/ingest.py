@@ -23,9 +23,11 @@ def ingest(
     """Run one load and return its scored posts.
 
     The same load can be run again: it looks only at what other loads stored and
-    replaces its own rows.  The scored posts are written down once and feed all three
-    tables, so sources are read and scored a single time.
+    replaces its own rows.  Collected and scored posts are written down, so payloads are
+    parsed once, posts are scored once, and the joins with the stored tables are planned
+    from the size of the batch.
     """
+    posts = materialize(posts, "collected")
     history = store.read("history", but=load_id)
     fresh = drop_processed(posts, history)
     topics = None if topic else fresh.select("topic").distinct()
