@@ -109,6 +109,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id").alias("id"))).alias("best"),
         F.sum("times").alias("group_size"),
     )
+    best = scratch.table(best, "best")  # joined as a table, so that a hot text's rows can be split
     winner = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n") == -F.col("best.less"))
     grouped = (
         counted.join(best, "text_sha256")
