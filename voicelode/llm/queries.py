@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voicelode.llm import exact_dedup
+from voicelode.llm import exact_dedup, langid
 from voicelode.llm.common import table_path
 
 
@@ -12,12 +12,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays of it."""
     return exact_dedup.copy_groups(_documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op5_language": op5_language,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
