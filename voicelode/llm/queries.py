@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voicelode.llm import exact_dedup, langid
+from voicelode.llm import exact_dedup, jaccard_join, langid
 from voicelode.llm.common import table_path
 
 
@@ -12,6 +12,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its shingle set and the number of similar classes."""
+    return jaccard_join.link_counts(_documents(spark, sf_dir))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     return langid.identify(_documents(spark, sf_dir))
@@ -23,6 +28,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_language": op5_language,
     "op8_exact_dedup": op8_exact_dedup,
 }
