@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voicelode.llm import exact_dedup, jaccard_join, langid
+from voicelode.llm import exact_dedup, jaccard_join, langid, pii
 from voicelode.llm.common import table_path
 
 
@@ -12,6 +12,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "documents"))
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the words that reveal it."""
+    return pii.span_table(_documents(spark, sf_dir))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its shingle set and the number of similar classes."""
     return jaccard_join.link_counts(_documents(spark, sf_dir))
@@ -28,6 +33,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language": op5_language,
     "op8_exact_dedup": op8_exact_dedup,
