@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voicelode.llm import exact_dedup, jaccard_join, langid, pii
+from voicelode.llm import exact_dedup, jaccard_join, langid, mixture_pack, pii
 from voicelode.llm.common import table_path
 
 
@@ -27,6 +27,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens, mixed by source."""
+    return mixture_pack.pack(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays of it."""
     return exact_dedup.copy_groups(_documents(spark, sf_dir))
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language": op5_language,
+    "op6_mixture_packing": op6_mixture_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
