@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voicelode.llm.common import Scratch, SpanHasher, by_size, mix64
+from voicelode.llm.common import Bloom, Scratch, SpanHasher, by_size, mix64
 from voicelode.llm.components import components
 from voicelode.llm.words import ALNUM, LOWER, Words, shingles
 
@@ -255,9 +255,16 @@ def similarity_links(docs: DataFrame, scratch: Scratch, threshold: float = THRES
                 names=["node", "block", "shingles"],
             )
 
-    chosen = docs.select("doc_id", "text").join(
-        members.withColumnRenamed("class_id", "doc_id"), "doc_id"
-    ).select("node", "block", "text")
+    # texts that cannot be members do not move
+    wanted = docs.sparkSession.sparkContext.broadcast(Bloom(members.select(F.xxhash64("class_id").alias("h"))))
+
+    def likely(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.has(batch.column("h").to_numpy(zero_copy_only=False))))
+
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    rows = rows.mapInArrow(likely, rows.schema).select("doc_id", "text")
+    chosen = rows.join(members.withColumnRenamed("class_id", "doc_id"), "doc_id").select("node", "block", "text")
     with_sets = scratch.table(chosen.mapInArrow(sets, "node long, block long, shingles array<long>"), "sets")
     side = F.explode(
         F.when(F.col("left") == F.col("right"), F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("block"))))

@@ -12,7 +12,7 @@ It is at most 1, when the word occurs with the entity only.  A context word whos
 `min_bits`) is no secret.  Documents that mention no entity are left alone.
 
 Document frequencies are counted for words that occur with some entity often enough; a Bloom filter of
-fixed size, built in Spark, lets the second pass over the texts leave out nearly all other words.  The
+bounded size, built in Spark, lets the second pass over the texts leave out nearly all other words.  The
 filter only saves work: what passes it is counted exactly.
 
 Defined results: a null text counts as empty; a null id is an id like others; equal rows get equal
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voicelode.llm.common import Scratch, SpanHasher, by_size, mix64, texts_of
+from voicelode.llm.common import Bloom, Scratch, SpanHasher, by_size, mix64, texts_of
 from voicelode.llm.words import ALNUM, LOWER, Words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -45,8 +45,6 @@ SUPPORT = 2
 REMOVE = 0.9
 GENERALISE = 0.75
 MIN_BITS = 3.0
-#: Bits of the filter of words worth counting (1 MiB), whatever the corpus.
-FILTER_BITS = 1 << 23
 
 _LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -184,29 +182,9 @@ def find_entities(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(find, f"doc_id {kind}, text_key long, {counts}, base string, {arrays}")
 
 
-def _filter_bits(terms: DataFrame) -> np.ndarray:
-    """The Bloom filter of the terms, built in Spark: two bits each."""
-    at = F.explode(F.array(F.col("term").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned("term", 36).bitwiseAND(F.lit(FILTER_BITS - 1))))
-    words = terms.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
-    )
-    found = words.toArrow()  # at most FILTER_BITS / 64 rows
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out
-
-
-def _in_filter(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(h), bool)
-    for shift in (0, 36):
-        at = (h >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
-        hit &= (bits[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return hit
-
-
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): in how many documents each of `terms` occurs."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(terms))
+    wanted = docs.sparkSession.sparkContext.broadcast(Bloom(terms.select(F.col("term").alias("h"))))
 
     def count(batches):
         hasher = SpanHasher()
@@ -215,7 +193,7 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
             found = []
             for a, b in by_size(np.fromiter(map(len, texts), np.int64, len(texts))):
                 words = Words(texts[a:b], ALNUM, hasher)
-                hit = np.flatnonzero(_in_filter(words.hashes, bits.value))
+                hit = np.flatnonzero(wanted.value.has(words.hashes))
                 doc = np.searchsorted(words.at, hit, side="right") - 1
                 _, once = np.unique(mix64(words.hashes[hit]) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
                 found.append(words.hashes[hit[once]])
