@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voicelode.llm import exact_dedup, jaccard_join, langid, mixture_pack, pii
+from voicelode.llm import exact_dedup, jaccard_join, langid, mixture_pack, pieces, pii
 from voicelode.llm.common import table_path
 
 
@@ -37,12 +37,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(_documents(spark, sf_dir))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by a merge-type vocabulary, and decoded again."""
+    return pieces.encode_documents(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language": op5_language,
     "op6_mixture_packing": op6_mixture_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLES = {
