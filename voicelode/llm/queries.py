@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voicelode.llm import exact_dedup, jaccard_join, langid, mixture_pack, pieces, pii
+from voicelode.llm import bfd_pack, exact_dedup, jaccard_join, langid, mixture_pack, pieces, pii
 from voicelode.llm.common import table_path
 
 
@@ -17,6 +17,11 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_table(_documents(spark, sf_dir))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in matrices of 2048 columns."""
+    return bfd_pack.pieces(bfd_pack.pack(_documents(spark, sf_dir)))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its shingle set and the number of similar classes."""
     return jaccard_join.link_counts(_documents(spark, sf_dir))
@@ -44,6 +49,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_personal_data": op1_personal_data,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language": op5_language,
     "op6_mixture_packing": op6_mixture_packing,
