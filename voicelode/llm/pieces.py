@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -99,9 +98,9 @@ class PieceModel:
         cuts += [f"(?<=[{re.escape(''.join(starts))}])"] * bool(starts)
         self._cut = re.compile("|".join(cuts)).split if cuts else lambda part: [part]
         self._known: dict[str, str] = {}
-        self._runs: dict[str, list[int]] = {}
+        self._runs: dict[str, str] = {}
 
-    def _encode_run(self, run: str) -> list[int]:
+    def _encode_run(self, run: str) -> str:
         out = []
         for symbol in merged(run, self.rank):
             found = self.ids.get(symbol)
@@ -109,12 +108,12 @@ class PieceModel:
                 out.append(found)
             else:
                 out += [self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass")]
-        return out
+        return ",".join(map(str, out))
 
-    def encode_part(self, part: str) -> list[int]:
-        """The ids of a part, from its runs."""
+    def encode_part(self, part: str) -> str:
+        """The ids of a part, comma-joined, from its runs."""
         runs, out = self._runs, []
-        for run in self._cut(part):
+        for run in filter(None, self._cut(part)):
             ids = runs.get(run)
             if ids is None:
                 ids = self._encode_run(run)
@@ -122,24 +121,28 @@ class PieceModel:
                     if len(runs) > REMEMBERED:
                         runs.clear()
                     runs[run] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return ",".join(out)
+
+    def _check(self, text: str, ids: str) -> None:
+        own = self.library.encode(text)
+        if ",".join(map(str, own)) != ids:
+            raise RuntimeError(f"ids differ from the library's: {text[:200]!r}")
+        if self.library.decode(own) != text:
+            raise RuntimeError(f"the decoded text differs from the library's: {text[:200]!r}")
 
     def _learn(self, parts: list[str]) -> dict[str, str]:
-        """The ids of parts (each without its first mark), comma-joined; all of them are checked against the library."""
-        parts.sort(key=lambda p: not p.strip(MARK))  # parts of marks only would join the next part's marks
-        ids = [self.encode_part(MARK + p) for p in parts]
-        plain = sum(1 for p in parts if p.strip(MARK))
-        for p, i in zip(parts[plain:], ids[plain:], strict=True):
-            if p and (self.library.encode(" " * len(p)) != i or self.library.decode(i) != " " * len(p)):
-                raise RuntimeError("ids of spaces differ from the library's")
-        whole = " ".join([p.replace(MARK, " ") for p in parts[:plain]])  # the library puts the first mark there itself
-        joined = list(itertools.chain.from_iterable(ids[:plain]))
-        if whole and self.library.encode(whole) != joined:
-            raise RuntimeError("ids differ from the library's")
-        if whole and self.library.decode(joined) != whole:
-            raise RuntimeError("the decoded text differs from the library's")
-        return {p: ",".join(map(str, i)) for p, i in zip(parts, ids, strict=True)}
+        """The ids of parts (each without its first mark); all of them are checked against the library."""
+        learnt = {p: self.encode_part(MARK + p) for p in parts}
+        together = []
+        for p in parts:  # the library puts the first mark there itself
+            if p.strip(MARK):
+                together.append(p)
+            elif p:  # marks only: they would join those of the next part
+                self._check(" " * len(p), learnt[p])
+        if together:
+            self._check(" ".join(together).replace(MARK, " "), ",".join([learnt[p] for p in together]))
+        return learnt
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids, comma-joined; decoded text) of each text."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voicelode.llm import bfd_pack, exact_dedup, jaccard_join, langid, mixture_pack, pieces, pii
+from voicelode.llm import bfd_pack, exact_dedup, jaccard_join, langid, license_join, mixture_pack, nn_descent, pieces, pii
 from voicelode.llm.common import table_path
 
 
@@ -37,11 +38,22 @@ def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_pack.pack(_documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, phrases and license labels of every document."""
+    return license_join.scan(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays of it."""
     return exact_dedup.copy_groups(_documents(spark, sf_dir))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one, among all."""
+    vectors = spark.read.parquet(table_path(sf_dir, "embeddings"))
+    return nn_descent.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by a merge-type vocabulary, and decoded again."""
     return pieces.encode_documents(_documents(spark, sf_dir))
@@ -53,11 +65,45 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language": op5_language,
     "op6_mixture_packing": op6_mixture_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_pieces": op10_pieces,
 }
 
+_TEMPLATES = ", ".join(
+    f"('{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}])"
+    for label, text in license_join.TEMPLATES.items()
+)
+_PLACES = "\n".join(
+    f"""select doc_id, '{label}' as label, i - 1 as place from w, unnest(range(1, len(words) + 1)) t(i)
+        where words[i:i + {len(phrase.split()) - 1}] = {phrase.split()!r}
+        union all"""
+    for phrase, label in license_join.PHRASES.items()
+).removesuffix("union all")
+
 ORACLES = {
+    "op7_license_scan": rf"""
+        with d as (select doc_id, lower(coalesce(text, '')) as low from documents),
+        w as (select doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from d),
+        p as ({_PLACES}),
+        base as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word,
+                        list_distinct(list(label)) as labels
+                 from p group by doc_id),
+        t(label, words) as (values {_TEMPLATES}),
+        lines as (select doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+                  from d, unnest(string_split(low, chr(10))) u(line)),
+        m as (select doc_id, label, len(list_intersect(t.words, lines.words)) / len(t.words) as contained
+              from lines, t
+              where len(list_intersect(t.words, lines.words)) >= ceil({license_join.THRESHOLD} * len(t.words) - 1e-9)),
+        method as (select doc_id, list_distinct(list(label)) as labels, max(contained) as contained
+                   from m group by doc_id)
+        select w.doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+               coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []),
+                                                                   coalesce(method.labels, [])))), ',') as labels,
+               case when n_base > 0 then 1.0::double else coalesce(contained, 0.0) end as score
+        from w left join base using (doc_id) left join method using (doc_id)""",
     "op8_exact_dedup": r"""
         with d as (select doc_id, length(coalesce(text, '')) as n,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
