@@ -31,6 +31,13 @@ def test_agenda_takes_the_best_score_then_the_leftmost():
     assert pieces.merged("", {}) == [] and pieces.merged("x", {}) == ["x"]
 
 
+def test_list_and_heap_agree(model):
+    rng = random.Random(4)
+    for _ in range(3000):
+        part = "".join(rng.choices("theandiŋ.▁é", k=rng.randint(0, 30)))
+        assert pieces._merged_short(part, model.rank) == pieces._merged_long(part, model.rank)
+
+
 def test_forgetting_changes_nothing(model, monkeypatch):
     texts = ["the cat sat " * 3, "on  the mat", "the cat"] * 5
     want = list(model.encode(texts))

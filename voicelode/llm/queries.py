@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voicelode.llm import bfd_pack, exact_dedup, jaccard_join, langid, license_join, mixture_pack, nn_descent, pieces, pii
+from voicelode.llm import bfd_pack, exact_dedup, jaccard_join, langid, license_join, maxent_lm, mixture_pack, nn_descent, pieces, pii
 from voicelode.llm.common import table_path
 
 
@@ -18,6 +18,11 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_table(_documents(spark, sf_dir))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by word counts and by the maximum-entropy model."""
+    return maxent_lm.score_documents(_documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in matrices of 2048 columns."""
     return bfd_pack.pieces(bfd_pack.pack(_documents(spark, sf_dir)))
@@ -61,6 +66,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_personal_data": op1_personal_data,
+    "op2_lm_scores": op2_lm_scores,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language": op5_language,
