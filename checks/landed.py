@@ -395,6 +395,58 @@ def rejected_responses(spark, sf):
     return extract.rejected_responses(responses(spark, sf)).select(big("batch"), "reason")
 
 
+@query("""select doc_id, case doc_id % 6 when 1 then 'cut' when 2 then 'array' else 'text' end as kind
+ from documents where doc_id % 6 in (1, 2, 3)""")
+def rejected_payloads(spark, sf):
+    """Every second tweet line is damaged in one of three ways."""
+    whole = F.concat(F.lit('{"data":[{"id":"1","text":"'), F.regexp_replace("text", r"[\"\\\\\x00-\x1f]", " "), F.lit('"}]}'))
+    n = F.col("doc_id") % 6
+    damaged = F.when(n == 1, F.left(whole, F.length(whole) - 2)).when(n == 2, F.concat(F.lit("["), whole, F.lit("]")))
+    damaged = damaged.when(n == 3, F.lit("no JSON")).when(n == 4, F.lit("  ")).otherwise(whole)
+    lines = table(spark, sf, "documents").select("doc_id", damaged.alias("value"))
+    kind = F.when(n == 1, "cut").when(n == 2, "array").otherwise("text")
+    return payloads.rejected_payloads(lines, "tweets").select("doc_id", kind.alias("kind"))
+
+
+@query("""select n, case n % 3 when 1 then 'not a JSON array' else 'broken JSON' end as reason
+ from (select distinct doc_id % 12 as n from documents) where n % 3 <> 0""")
+def rejected_imports(spark, sf):
+    """Twelve files of items: whole arrays, objects and arrays that were cut off."""
+    folder = scratch_path(spark, "imports")
+    n = (F.col("doc_id") % 12).alias("n")
+    items = F.to_json(F.sort_array(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")))))
+    files = table(spark, sf, "documents").groupBy(n).agg(items.alias("items"))
+    value = F.when(F.col("n") % 3 == 1, F.concat(F.lit('{"items":'), "items", F.lit("}")))
+    value = value.when(F.col("n") % 3 == 2, F.left("items", F.length("items") - 3)).otherwise(F.col("items"))
+    files.select(value.alias("value"), F.col("n").alias("file_no")).repartition("file_no").write.partitionBy("file_no").text(folder)
+    return imports.rejected_imports(spark, folder).select(
+        F.regexp_extract("file", r"file_no=(\d+)", 1).cast("bigint").alias("n"), "reason"
+    )
+
+
+@query("""select concat('x_', cast(doc_id as varchar)) as id, 'twitter' as platform from documents
+ union all select concat('hn_', cast(doc_id as varchar)), 'hn' from documents""")
+def stream_two_kinds(spark, sf):
+    """Two streams of different payloads with default names fill one store."""
+    store = PostStore(spark, scratch_path(spark, "store"))
+    comments = lines(
+        documents(spark, sf),
+        F.struct(F.col("doc_id").cast("string").alias("objectID"), F.col("text").alias("comment_text")),
+        lambda hits: [hits.alias("hits")],
+    )
+    for kind, landed_lines, reader in (
+        ("tweets", tweet_lines(spark, sf), payloads.read_tweets),
+        ("hn_comments", comments, payloads.read_hn_comments),
+    ):
+        landed = scratch_path(spark, "landed")
+        landed_lines.repartition(2).write.text(landed)
+        start_ingest(
+            read_stream(spark, landed, kind), reader, store, scratch_path(spark, "progress"), settings=SETTINGS, keep="first"
+        ).awaitTermination()
+    seen = store.read("history").select("id", "platform")
+    return store.read("posts").select("id", "platform").join(seen, ["id", "platform"])
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 

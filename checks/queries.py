@@ -114,22 +114,34 @@ def clean_html(spark, sf):
     return pages.select("page_id", text_functions.clean_html(F.col("html")).alias("text"))
 
 
+# URLs with fragments, repeated names, flags, empty parts and question marks inside values
+_URLS_SQL = """select page_id, case page_id % 5 when 0 then url when 1 then concat(url, '#/p?utm_source=x&k=1')
+  when 2 then concat(url, case when contains(url, '?') then '&' else '?' end,
+   'k=1&flag&k=2&&utm_a=3&j=a%20b+c~*') when 3 then concat(url, '?k=1?utm_source=2') else concat(url, '#') end as url
+ from {pages}"""
+
+
 def clean_url_sql(col: str) -> str:
-    # path, query and fragment are taken apart; the twin does not rely on the same patterns
-    return f"""(case when position('?' in {col}) = 0 then {col} else
-  split_part({col}, '?', 1) || case when len(list_filter(string_split(split_part(
-    substr({col}, position('?' in {col}) + 1), '#', 1), '&'),
-    lambda x: not starts_with(x, 'utm_'))) > 0
-   then '?' || array_to_string(list_filter(string_split(split_part(
-    substr({col}, position('?' in {col}) + 1), '#', 1), '&'),
-    lambda x: not starts_with(x, 'utm_')), '&') else '' end
-  || case when position('#' in {col}) > 0 then substr({col}, position('#' in {col})) else '' end
-  end)"""
-
-
-@query(f"select page_id, {clean_url_sql('url')} as url from pages")
+    # path, query and fragment are taken apart; the twin does not rely on the same functions
+    head = f"split_part({col}, '#', 1)"
+    query = f"case when contains({head}, '?') then substr({head}, position('?' in {head}) + 1) else '' end"
+    fragment = f"case when contains({col}, '#') then substr({col}, position('#' in {col}) + 1) else '' end"
+    pairs = f"""list_filter(list_transform(list_filter(string_split({query}, '&'), lambda p: p <> ''),
+  lambda p: [url_decode(replace(split_part(p, '=', 1), '+', ' ')),
+   url_decode(replace(case when contains(p, '=') then substr(p, position('=' in p) + 1) else '' end, '+', ' '))]),
+  lambda p: not starts_with(p[1], 'utm_'))"""
+    # a stable sort by the first place of the name keeps repeated names together
+    ordered = f"""list_transform(list_sort(list_transform({pairs}, lambda p, i:
+  {{'at': list_position(list_transform({pairs}, lambda q: q[1]), p[1]), 'i': i, 'p': p}})), lambda x: x.p)"""
+    kept = f"""array_to_string(list_transform({ordered}, lambda p: concat(replace(url_encode(p[1]), '%20', '+'), '=',
+  replace(url_encode(p[2]), '%20', '+'))), '&')"""
+    return f"""concat(split_part({head}, '?', 1), case when {kept} <> '' then concat('?', {kept}) else '' end,
+  case when {fragment} <> '' then concat('#', {fragment}) else '' end)"""
+
+
+@query(f"with u as ({_URLS_SQL.format(pages='pages')}) select page_id, {clean_url_sql('url')} as url from u")
 def clean_urls(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = spark.sql(_URLS_SQL.format(pages="{pages}"), pages=table(spark, sf, "pages"))
     return pages.select("page_id", url_functions.clean_url(F.col("url")).alias("url"))
 
 
@@ -180,8 +192,8 @@ def lang_filter(spark, sf):
 # --- matching and collapsing --------------------------------------------------------------------
 
 
-def matches(spark, sf, inline: int = filters.INLINE_QUERIES) -> DataFrame:
-    return filters.match_queries(posts(spark, sf), views.queries_frame(spark), inline)
+def matches(spark, sf) -> DataFrame:
+    return filters.match_queries(posts(spark, sf), views.queries_frame(spark))
 
 
 @query(f"""with {POSTS_SQL}, {views.MATCHES_SQL} select id, seq, query,
@@ -190,9 +202,22 @@ def match_queries(spark, sf):
     return matches(spark, sf).select("id", "seq", "query", big("query_no"))
 
 
-@query(ORACLES["match_queries"])
+# more queries than one group: words of part names with an empty, a null and repeated phrases
+_MANY_SQL = """select cast(p_partkey as bigint) as query_no, concat('q', cast(p_partkey % 290 as varchar(20))) as query,
+ case when p_partkey = 1 then '' when p_partkey = 2 then null else substring(p_name, cast(p_partkey % 7 as int) + 1, 2) end
+  as phrase, substring(p_name, 1, 1) as one, 'license' as two from {part} where p_partkey <= 300"""
+
+
+@query(f"""with {POSTS_SQL}, q as ({_MANY_SQL.format(part='part')})
+ select id, seq, query, query_no from posts p join q
+  on contains(lower(concat(p.title, ' ', p.body)), lower(q.phrase))
+  and (contains(lower(concat(p.title, ' ', p.body)), lower(one)) or
+   contains(lower(concat(p.title, ' ', p.body)), two))""")
 def match_queries_anchored(spark, sf):
-    return matches(spark, sf, inline=0).select("id", "seq", "query", big("query_no"))
+    """More queries than one group of expressions holds; the name is that of an earlier form."""
+    queries = spark.sql(_MANY_SQL.format(part="{part}"), part=table(spark, sf, "part"))
+    queries = queries.withColumn("alternatives", F.array("one", "two"))
+    return filters.match_queries(posts(spark, sf), queries).select("id", "seq", "query", "query_no")
 
 
 @query(f"""with {POSTS_SQL}, {views.HITS_SQL} select topic, id, min_by(title, hit_seq) as title,
@@ -271,7 +296,7 @@ def scored(spark, sf) -> DataFrame:
 
 def scored_by_topic(spark, sf) -> DataFrame:
     base = posts(spark, sf)
-    return scoring.score_posts(base, SETTINGS, topics=base.select("topic"))
+    return scoring.score_posts(base, SETTINGS, own_topic=True)
 
 
 SCORED_SQL = f"{POSTS_SQL}, {views.scored_sql()}"
@@ -434,11 +459,15 @@ def merge_new_posts(spark, sf):
   lambda i: concat('q', cast(i as varchar))), '|') end as matched_queries from scored""")
 def apply_scores(spark, sf):
     stored = scored(spark, sf)
+    # every update comes twice, the one that counts has the higher number
     updates = stored.filter("seq % 4 = 0").select(
         "id", (F.col("pain_score") + 1).alias("pain_score"), "demand_score",
         F.lit(0.0).alias("relevance_score"), F.array(F.lit("again")).alias("matched_queries"),
+        F.lit(2).alias("number"),
     )
-    return tables.apply_scores(stored, updates).select(
+    earlier = updates.withColumns({"pain_score": F.lit(99), "number": F.lit(1)})
+    updates = updates.unionByName(earlier)
+    return tables.apply_scores(stored, updates, order="number").select(
         "id", big("pain_score"), "relevance_score",
         joined("matched_queries").alias("matched_queries"),
     )
@@ -457,7 +486,10 @@ def mark_analyzed(spark, sf):
     results = base.filter("seq % 5 = 0").select(
         "id", F.when(F.col("seq") % 10 == 0, F.lit('{"n":1}')).alias("analysis_result")
     )
-    return tables.mark_analyzed(base, results).select("id", "analyzed", "analysis_result")
+    twice = results.withColumn("number", F.lit(2)).unionByName(
+        results.select("id", F.lit("old").alias("analysis_result"), F.lit(1).alias("number"))
+    )
+    return tables.mark_analyzed(base, twice, order="number").select("id", "analyzed", "analysis_result")
 
 
 def runs(spark, sf) -> DataFrame:

@@ -140,7 +140,7 @@ def test_score_by_own_topic_equals_single_topic(spark):
     for topic in ("API testing", "video ai"):
         single = score_posts(posts, topic=topic)
         labelled = posts.withColumn("topic", F.lit(topic))
-        own = score_posts(labelled, topics=labelled.select("topic"))
+        own = score_posts(labelled, own_topic=True)
         columns = ["id", "pain_score", "topic_relevance", "relevance_score"]
         assert sorted(single.select(columns).collect()) == sorted(own.select(columns).collect())
 

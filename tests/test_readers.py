@@ -5,6 +5,7 @@ import pytest
 
 from voicelode import values
 from voicelode.operators.collapse import collapse_hits, enrich_with_comments, union_sources
+from voicelode.operators import filters
 from voicelode.operators.filters import match_queries
 from voicelode.sources import payloads
 from voicelode.sources.imports import read_import
@@ -165,8 +166,9 @@ def test_search_plan(spark):
     assert boolean_queries(plan).count() == 8
 
 
-@pytest.mark.parametrize("inline", [256, 0])
-def test_boolean_queries_match_as_defined(spark, inline):
+@pytest.mark.parametrize("size", [256, 2])
+def test_boolean_queries_match_as_defined(spark, size, monkeypatch):
+    monkeypatch.setattr(filters, "QUERIES_PER_ARRAY", size)
     queries = [(0, "q0", "AI tool", ["hate", "I'd pay for"]), (1, "q1", "é", ["x"]),
                (2, "q2", "no", ["n"]), (3, "q3", "none of these", ["x"]), (4, "q4", "AI", [])]
     posts = [("a", 0, "My AI tools", "i'd PAY for it"), ("b", 1, "ai tool", "nice"),
@@ -174,7 +176,7 @@ def test_boolean_queries_match_as_defined(spark, inline):
     frame = spark.createDataFrame(posts, "id string, seq int, title string, body string")
     table = spark.createDataFrame(
         queries, "query_no int, query string, phrase string, alternatives array<string>")
-    got = {(r["id"], r["query"]) for r in match_queries(frame, table, inline).collect()}
+    got = {(r["id"], r["query"]) for r in match_queries(frame, table).collect()}
     want = set()
     for id_, _, title, body in posts:
         text = ((title or "") + " " + (body or "")).lower()

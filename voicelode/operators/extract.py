@@ -91,9 +91,12 @@ def response_text(response: Column) -> Column:
 
 
 def _items(text: Column) -> Column:
-    # A bare object would also parse as one item, so the outer brackets are required.
+    # A bare object would also parse as one item, so the outer brackets are required.  The parser stops
+    # behind the first value; as a field in front of another one the array must be the whole text.
     is_array = F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]"))
-    return F.when(is_array, F.from_json(text, schemas.RESPONSE_ITEMS))
+    framed = F.concat(F.lit('{"items":'), text, F.lit(',"whole":true}'))
+    parsed = F.from_json(framed, f"items {schemas.RESPONSE_ITEMS}, whole boolean")
+    return F.when(is_array & F.coalesce(parsed["whole"], F.lit(False)), parsed["items"])
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     item = F.col("item")
 
     def whole(name):
-        return item[name].try_cast("double").cast("int").alias(name)
+        return item[name].try_cast("double").try_cast("int").alias(name)
 
     quotes = F.transform(
         item["representative_quotes"],

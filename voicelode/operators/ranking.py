@@ -64,26 +64,18 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return laid_out.withColumn(name, start + F.col("_at") + 1).drop("_no", "_part", "_at")
 
 
-MAX_LARGE_GROUPS = 100
-
-
 def number_rows_within(
     df: DataFrame, group: Column, order: list[Column], name: str
 ) -> DataFrame:
-    """Number rows 1..n inside each of a few large groups, without one task per group.
+    """Number rows 1..n inside each group, however large, without one task per group.
 
-    For many groups a window partitioned by the group is the right tool; more than
-    `MAX_LARGE_GROUPS` are refused.
+    All rows are numbered first; the number that a group begins with is joined by group, a null
+    group like any other.
     """
     numbered = number_rows(df.withColumn("_g", group), [F.col("_g").asc(), *order], "_all")
-    firsts = numbered.groupBy("_g").agg(F.min("_all").alias("first"))
-    firsts = firsts.limit(MAX_LARGE_GROUPS + 1).collect()
-    if len(firsts) > MAX_LARGE_GROUPS:
-        raise ValueError(f"more than {MAX_LARGE_GROUPS} groups")
-    first = F.lit(None).cast("bigint")
-    for row in firsts:
-        first = F.when(F.col("_g") == row["_g"], F.lit(row["first"])).otherwise(first)
-    return numbered.withColumn(name, F.col("_all") - first + 1).drop("_g", "_all")
+    firsts = numbered.groupBy("_g").agg(F.min("_all").alias("_first")).withColumnRenamed("_g", "_h")
+    joined = numbered.join(firsts, F.col("_g").eqNullSafe(F.col("_h")))
+    return joined.withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_g", "_h", "_all", "_first")
 
 
 def select_for_analysis(

@@ -13,7 +13,6 @@ from voicelode.functions.topics import (
     topic_relevance_by_row,
     topic_terms,
 )
-from voicelode.scratch import materialize
 from voicelode.settings import Settings
 
 
@@ -44,30 +43,21 @@ def score_posts(
     posts: DataFrame,
     settings: Settings = Settings(),
     topic: str | None = None,
-    topics: DataFrame | None = None,
+    own_topic: bool = False,
 ) -> DataFrame:
     """Add pain_score, demand_score, topic_relevance and relevance_score.
 
-    With `topic` all posts are scored against that topic, in one projection over the
-    scan.  With `topics` (column `topic`) each post is scored against the topic it carries:
-    the terms are parsed once per topic and written down, so the optimizer knows the size of
-    that table when it chooses the join.  A small one is broadcast and the posts stay where
-    they are, however many of them share a topic.
+    With `topic` all posts are scored against that topic, with `own_topic` each against the topic
+    it carries.  The terms are an expression of the topic, so both are one projection over the scan.
     """
     text = scoring_text(F.col("title"), F.col("body"))
     scored = posts.withColumn("_text", text)
     text = F.col("_text")
-    if topics is not None:
-        terms = topics.select("topic").distinct()
-        parsed = [expr.alias(name) for name, expr in topic_terms(F.col("topic")).items()]
-        terms = materialize(terms.select("topic", F.struct(*parsed).alias("_terms")), "terms")
-        scored = scored.join(terms, "topic", "left")
-        graded = topic_relevance_by_row(
-            text, F.col("_terms.words"), F.col("_terms.phrases"), F.col("_terms.stems")
-        )
-        relevance = F.when(F.col("_terms").isNull() | (F.col("topic") == ""), F.lit(1.0)).otherwise(
-            graded
-        )
+    if own_topic:
+        terms = topic_terms(F.col("topic"))
+        scored = compute_once(scored, {f"_{name}": expr for name, expr in terms.items()})
+        graded = topic_relevance_by_row(text, F.col("_words"), F.col("_phrases"), F.col("_stems"))
+        relevance = F.when(F.coalesce("topic", F.lit("")) == "", F.lit(1.0)).otherwise(graded)
     else:
         terms = TopicTerms.of(posts.sparkSession, topic) if topic else None
         relevance = topic_relevance(text, terms)
@@ -88,5 +78,5 @@ def score_posts(
         F.col("_length"), settings,
     )
     return scored.withColumn("relevance_score", round_cents(raw * F.col("topic_relevance"))).drop(
-        "_text", "_terms", "_queries", "_engagement", "_length"
+        "_text", "_words", "_phrases", "_stems", "_queries", "_engagement", "_length"
     )

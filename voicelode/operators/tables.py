@@ -34,10 +34,25 @@ def new_posts(existing: DataFrame, batch: DataFrame, keys: list[str] | None = No
     return first_per_key(missing_keys(batch, existing, keys), keys, relevance_order())
 
 
+# what an insert writes where a post lacks a field
+INSERT_DEFAULTS = dict.fromkeys(["title", "body", "author", "community", "created_raw", "topic"], "") | dict.fromkeys(
+    ["points", "num_comments", "pain_score", "demand_score", "relevance_score"], 0
+)
+
+
+def with_insert_defaults(rows: DataFrame, kinds: dict[str, object]) -> DataFrame:
+    """`rows` with the defaults of an insert for columns of `kinds` (name: type) that are missing; nulls stay."""
+    missing = {c: F.lit(v).cast(kinds[c]) for c, v in INSERT_DEFAULTS.items() if c in kinds and c not in rows.columns}
+    if "matched_queries" in kinds and "matched_queries" not in rows.columns:
+        missing["matched_queries"] = F.array().cast(kinds["matched_queries"])
+    return rows.withColumns(missing) if missing else rows
+
+
 def merge_new_posts(
     existing: DataFrame, batch: DataFrame, keys: list[str] | None = None
 ) -> DataFrame:
     added = new_posts(existing, batch, keys)
+    added = with_insert_defaults(added, {f.name: f.dataType for f in existing.schema.fields})
     return existing.unionByName(added, allowMissingColumns=True)
 
 
@@ -51,13 +66,21 @@ def extend_history(history: DataFrame, posts: DataFrame, now: Column) -> DataFra
     return history.unionByName(new_history(history, posts, now), allowMissingColumns=True)
 
 
-def apply_scores(posts: DataFrame, updates: DataFrame) -> DataFrame:
+def last_per_id(updates: DataFrame, columns: list[str], order: str | None) -> DataFrame:
+    """One update per id: the last by the column `order`, or else by the rows' place in the table."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    numbered = updates.select("id", F.struct(*columns).alias("update"), place.alias("place"))
+    return numbered.groupBy("id").agg(F.max_by("update", "place").alias("update")).select("id", "update.*")
+
+
+def apply_scores(posts: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """Overwrite scores and matched queries of the posts that have an update.
 
-    `updates` has id, the three scores and matched_queries; an update replaces all four.
+    `updates` has id, the three scores and matched_queries; an update replaces all four, and of
+    several for one id the last counts.
     """
     columns = ["pain_score", "demand_score", "relevance_score", "matched_queries"]
-    renamed = updates.select(
+    renamed = last_per_id(updates, columns, order).select(
         F.col("id"), F.lit(True).alias("_hit"), *[F.col(c).alias("_" + c) for c in columns]
     )
     joined = posts.join(renamed, "id", "left")
@@ -65,9 +88,9 @@ def apply_scores(posts: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.withColumns(replaced).select(*posts.columns)
 
 
-def mark_analyzed(posts: DataFrame, results: DataFrame) -> DataFrame:
-    """Set `analyzed` and the result text, or null, of the posts in `results`."""
-    renamed = results.select(
+def mark_analyzed(posts: DataFrame, results: DataFrame, order: str | None = None) -> DataFrame:
+    """Set `analyzed` and the result text, or null, of the posts in `results`; the last result of an id counts."""
+    renamed = last_per_id(results, ["analysis_result"], order).select(
         F.col("id"), F.lit(True).alias("_hit"), F.col("analysis_result").alias("_result")
     )
     joined = posts.join(renamed, "id", "left")

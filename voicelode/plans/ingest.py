@@ -22,16 +22,15 @@ def ingest(
 ) -> DataFrame:
     """Run one load and return its scored posts.
 
-    The same load can be run again: it looks only at what other loads stored and
-    replaces its own rows.  Collected and scored posts are written down, so payloads are
+    `load_id` names the load in the store; see `sources.store.load_name`.  The same load can
+    be run again: it looks only at what other loads stored and replaces its own rows.  Collected and scored posts are written down, so payloads are
     parsed once, posts are scored once, and the joins with the stored tables are planned
     from the size of the batch.
     """
     posts = materialize(posts, "collected")
     history = store.read("history", but=load_id)
     fresh = drop_processed(posts, history)
-    topics = None if topic else fresh.select("topic").distinct()
-    scored = score_posts(fresh, settings, topic=topic, topics=topics)
+    scored = score_posts(fresh, settings, topic=topic, own_topic=topic is None)
     scored = materialize(scored.withColumn("fetched_at", now), "scored")
 
     stored = store.read("posts", but=load_id)

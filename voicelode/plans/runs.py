@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voicelode.operators.clusters import cluster_sources, leader_clusters, merge_clusters
 from voicelode.operators.collapse import collapse_hits, enrich_with_comments, union_sources
 from voicelode.operators.extract import extract_points
-from voicelode.operators.filters import filter_max_age, select_platforms
+from voicelode.operators.filters import filter_max_age, requested_platforms
 from voicelode.operators.ranking import assign_batches, select_for_analysis
 from voicelode.operators.report import report_lines, report_name, write_report
 from voicelode.operators.signals import cross_platform_clusters
@@ -23,7 +23,7 @@ from voicelode.scratch import materialize
 from voicelode.settings import Settings
 from voicelode.sources import payloads
 from voicelode.sources.imports import read_import
-from voicelode.sources.store import PostStore
+from voicelode.sources.store import PostStore, load_name
 
 ModelFn = Callable[[str], str]
 
@@ -60,27 +60,30 @@ def collect_landed(
             posts, comments(landed_payloads(kind)), header, separator, settings.comment_threshold
         )
 
-    comments = collapse_hits(payloads.read_hn_comments(landed_payloads("hn_comments")))
-    stories = collapse_hits(
-        payloads.read_hn_stories(landed_payloads("hn_stories"), settings.min_points)
-    )
-    reddit = collapse_hits(payloads.read_reddit_posts(landed_payloads("reddit_posts")))
-    launches = collapse_hits(
-        filter_max_age(
-            payloads.read_launch_posts(landed_payloads("launch_posts"), topic),
-            now, settings.max_age_days,
-        ),
-        keep="first",
-    )
-    tweets = collapse_hits(payloads.read_tweets(landed_payloads("tweets")), keep="first")
-    wanted = {
-        "hn": [comments, stories],
-        "reddit": [enriched(reddit, "reddit_comments", "reddit")],
-        "producthunt": [enriched(launches, "launch_comments", "producthunt")],
-        "twitter": [tweets],
-    }
-    posts = union_sources([frame for frames in wanted.values() for frame in frames])
-    return select_platforms(posts, settings.platforms, settings.enabled)
+    def hn_comments():
+        return collapse_hits(payloads.read_hn_comments(landed_payloads("hn_comments")))
+
+    def hn_stories():
+        lines = landed_payloads("hn_stories")
+        return collapse_hits(payloads.read_hn_stories(lines, settings.min_points))
+
+    def reddit():
+        posts = collapse_hits(payloads.read_reddit_posts(landed_payloads("reddit_posts")))
+        return enriched(posts, "reddit_comments", "reddit")
+
+    def launches():
+        hits = payloads.read_launch_posts(landed_payloads("launch_posts"), topic)
+        recent = filter_max_age(hits, now, settings.max_age_days)
+        return enriched(collapse_hits(recent, keep="first"), "launch_comments", "producthunt")
+
+    def tweets():
+        return collapse_hits(payloads.read_tweets(landed_payloads("tweets")), keep="first")
+
+    # in the order of the sources; payloads of other platforms are not read
+    sources = {"hn": [hn_comments, hn_stories], "reddit": [reddit], "producthunt": [launches], "twitter": [tweets]}
+    wanted = requested_platforms(settings.platforms, settings.enabled)
+    frames = [read() for platform, reads in sources.items() if platform in wanted for read in reads]
+    return union_sources(frames or [hn_comments().limit(0)])
 
 
 def merge_points(extracted: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -148,7 +151,7 @@ def run_search(
     """Search: landed payloads of a topic to scored posts, findings and report."""
     posts = collect_landed(spark, landed, topic, now, settings)
     return _finish(
-        posts, store, load_id, topic, list(settings.platforms), now, out_dir, settings, fn,
+        posts, store, load_name("search", topic, load_id), topic, list(settings.platforms), now, out_dir, settings, fn,
         only_new=False,
     )
 
@@ -161,7 +164,7 @@ def run_import(
     """Import: a JSON array file to scored posts, findings and report."""
     posts = read_import(spark, path, topic, platform)
     return _finish(
-        posts, store, load_id, topic, [platform], now, out_dir, settings, fn, only_new=True
+        posts, store, load_name("import", topic, load_id), topic, [platform], now, out_dir, settings, fn, only_new=True
     )
 
 
@@ -175,7 +178,9 @@ def run_analysis(
     )
     if selected.isEmpty():
         return None
-    points, analyzed = _analyze(selected, store, load_id, now, settings, fn)
+    points, analyzed = _analyze(
+        selected, store, load_name("analysis", topic, load_id), now, settings, fn
+    )
     stored = posts_for_topic(store.posts(), topic)
     lines = report_lines(topic, stored, points, now, None, settings)
     path = write_report(lines, f"{out_dir}/{report_name(topic, now.date())}", single_file=True)

@@ -10,24 +10,37 @@ from voicelode.functions.text import text_or_empty, truthy
 from voicelode.functions.times import parse_time
 
 
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    schema = schemas.IMPORT_ITEM + ", _unreadable string"
+    reader = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_unreadable")
+    return reader.json(path).withColumn("file", F.col("_metadata.file_path"))
+
+
+def rejected_imports(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of files that are no JSON array or cannot be read; nothing of them is imported."""
+    begins = spark.read.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.left(F.ltrim(F.regexp_replace("value", r"^\s+", "")), F.lit(1)).alias("mark")
+    )
+    no_array = begins.filter(F.col("mark") != "[").select("file", F.lit("not a JSON array").alias("reason"))
+    broken = _scan(spark, path).filter("_unreadable is not null and id is null").select("file").distinct()
+    broken = broken.join(no_array, "file", "left_anti")
+    return no_array.unionByName(broken.withColumn("reason", F.lit("broken JSON")))
+
+
 def read_import_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of one or more JSON array files with `pos`, their place in their file.
+    """Items of one or more JSON array files with `pos`, their place in their file; see `rejected_imports`.
 
-    A JSON array file is one scan task by its format, and the parser streams its
-    items.  Rows of a file are numbered by the scan; the smallest number of the file
-    is taken off, so the position needs no window over the file.
+    A JSON array file is one scan task by its format.  Rows of a file are numbered by the scan; the
+    smallest number of the file is taken off, so the position needs no window over the file.
     """
-    items = (
-        spark.read.schema(schemas.IMPORT_ITEM).option("multiLine", True).json(path)
-        .withColumn("file", F.col("_metadata.file_path"))
-        .withColumn("row_no", F.monotonically_increasing_id())
-    )
+    items = _scan(spark, path).withColumn("row_no", F.monotonically_increasing_id())
+    items = items.join(rejected_imports(spark, path).select("file"), "file", "left_anti")
     starts = items.groupBy("file").agg(F.min("row_no").alias("start"))
     return (
         items.join(starts, "file")
         .withColumn("pos", F.col("row_no") - F.col("start"))
         .withColumnRenamed("row_no", "seq")
-        .drop("start", "file")
+        .drop("start", "file", "_unreadable")
     )
 
 

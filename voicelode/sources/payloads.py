@@ -19,19 +19,38 @@ from voicelode.operators.filters import filter_keywords
 
 # A response holds fewer hits than this, so hit_seq keeps (response, position) order.
 _HITS_PER_RESPONSE = 1 << 20
+# A run numbers its responses from 0 below this, so the order of sources stays above that of hits.
+_RESPONSES = 1 << 30
 
 
 def read_payloads(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Landed JSON lines of one kind; unreadable lines become null rows and drop out later."""
+    """Landed JSON lines of one kind; unreadable lines become null rows, see `rejected_payloads`."""
     return spark.read.schema(schemas.PAYLOADS[kind]).option("mode", "PERMISSIVE").json(path)
 
 
+def rejected_payloads(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
+    """The landed lines that cannot be read as payloads of their kind; blank lines are none."""
+    schema = schemas.PAYLOADS[kind] + ", _unreadable string"
+    parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unreadable"})
+    # an array or a bare value is JSON, but no payload
+    no_object = ~F.startswith(F.ltrim(F.col(column)), F.lit("{"))
+    unreadable = F.coalesce(parsed["_unreadable"].isNotNull(), F.lit(True)) | no_object
+    return lines.filter((F.trim(F.col(column)) != "") & unreadable)
+
+
 def parse_payloads(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
     """The same for lines already in a text column, for instance from a message source."""
     parsed = F.from_json(F.col(column), schemas.PAYLOADS[kind])
     return lines.select(parsed.alias("payload")).select("payload.*")
 
 
+def _arrival(fetched_seq: Column, position: Column) -> Column:
+    """The place of a hit in arrival order; numbers that would mix with those of other sources are refused."""
+    outside = (fetched_seq < 0) | (fetched_seq >= _RESPONSES) | (position >= _HITS_PER_RESPONSE)
+    refuse = F.raise_error(F.concat(F.lit("fetched_seq out of bounds: "), fetched_seq.cast("string")))
+    return F.when(outside, refuse.cast("bigint")).otherwise(fetched_seq * _HITS_PER_RESPONSE + position)
+
+
 def _hits(payloads: DataFrame, array: Column) -> DataFrame:
     return payloads.select(
         "topic", "query", "fetched_seq", F.posexplode(array).alias("hit_pos", "hit")
@@ -57,7 +76,7 @@ def _post(hits: DataFrame, id_: Column, platform: str, **fields: Column) -> Data
         F.col("topic"),
         fields.get("website", F.lit(None).cast("string")).alias("website"),
         F.col("query"),
-        (F.col("fetched_seq") * _HITS_PER_RESPONSE + F.col("hit_pos")).alias("hit_seq"),
+        _arrival(F.col("fetched_seq"), F.col("hit_pos")).alias("hit_seq"),
     )
 
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A table of at most so many splits is dealt out; each split is at most `spark.sql.files.maxPartitionBytes`.
+FEW_SPLITS = 4
+
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table with long texts, which are costly to work on.
 
-    A table of fewer splits than the cluster has cores is spread over all of them first.
-    A large table has more splits than that and is read in place, without a shuffle.
+    A table of very few splits is spread over the cores.  What moves is bounded by these splits and does
+    not depend on the cluster; any larger table is read in place, without a shuffle.
     """
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    if table.rdd.getNumPartitions() > FEW_SPLITS:
+        return table
+    return table.repartition(spark.sparkContext.defaultParallelism)

@@ -1,12 +1,16 @@
 """Stored tables: posts, history, analyzed, alerts and runs as Parquet folders.
 
 Every load writes its own `load_id=...` folder and replaces it when the load is
-repeated, so a load that is run again after a failure leaves the same tables.  Nothing
-stored is ever rewritten: the analyzed flag is a small table of its own, joined on read.
+repeated, so a load that is run again after a failure leaves the same tables.  The name of
+the folder holds all that makes a load another one: its kind, its topic or streaming query,
+and the caller's id or the batch.  Nothing stored is ever rewritten: the analyzed flag is a
+small table of its own, joined on read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from voicelode import schemas
 from voicelode.operators.collapse import first_per_key
-from voicelode.operators.tables import HISTORY_KEY, mark_analyzed
+from voicelode.operators.tables import HISTORY_KEY, mark_analyzed, with_insert_defaults
 
 TABLES = {
     "posts": schemas.SCORED_POST,
@@ -26,6 +30,16 @@ TABLES = {
 _PARTITIONED = {"posts": ["topic"], "alerts": ["topic"]}
 
 
+def load_name(kind: str, of: str, load_id: str) -> str:
+    """The name of a load: `kind` of run, `of` which topic or streaming query, and its own id.
+
+    Loads that differ in any of the three have different folders.
+    """
+    mark = hashlib.sha256("\x00".join([kind, of, load_id]).encode()).hexdigest()[:16]
+    plain = "".join(c if c.isalnum() or c in "-_." else "_" for c in load_id)
+    return f"{kind}-{mark}-{plain}"
+
+
 class PostStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -50,6 +64,8 @@ class PostStore:
     def write(self, df: DataFrame, table: str, load_id: str) -> None:
         """Write one load of a table; a repeated load replaces itself."""
         wanted = [f for f in StructType.fromDDL(TABLES[table]).fields if f.name != "load_id"]
+        if table == "posts":
+            df = with_insert_defaults(df, {f.name: f.dataType for f in wanted})
         columns = [
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in wanted

@@ -11,7 +11,7 @@ from voicelode import schemas
 from voicelode.operators.collapse import collapse_hits
 from voicelode.plans.ingest import ingest
 from voicelode.settings import Settings
-from voicelode.sources.store import PostStore
+from voicelode.sources.store import PostStore, load_name
 
 
 def read_stream(spark: SparkSession, path: str, kind: str, files_per_batch: int = 1000):
@@ -35,13 +35,22 @@ def start_ingest(
 ):
     """Start the ingest of a payload stream with the given reader.
 
-    Each micro-batch is a load named after its batch id.  A batch that Spark repeats
-    after a failure replaces its own rows, so every post is stored once.
+    Each micro-batch is a load of its own, named after the streaming query's id, which its
+    checkpoint keeps, and the batch.  A batch that Spark repeats after a failure replaces its own
+    rows, and streams with other checkpoints cannot touch them, so every post is stored once.
     """
+    spark = store.spark
+
+    def query_id() -> str:
+        found = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not found:
+            raise RuntimeError("a micro-batch without the id of its streaming query")
+        return found
 
     def load(batch: DataFrame, batch_id: int) -> None:
         posts = collapse_hits(reader(batch), keep)
-        ingest(posts, store, f"{name}-{batch_id:09d}", F.current_timestamp(), settings)
+        load_id = load_name("stream", query_id(), f"{batch_id:09d}")
+        ingest(posts, store, load_id, F.current_timestamp(), settings)
 
     writer = payloads.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     if available_now:
