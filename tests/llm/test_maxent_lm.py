@@ -38,7 +38,14 @@ def test_base_scores_equal_brute_force(documents):
         assert r.train_tokens == n
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
         assert r.score <= 0 and math.isfinite(r.score)
-    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_context_beats_counts_on_held_out_texts(documents, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "STRIDE", 1)
+    monkeypatch.setattr(maxent_lm, "BATCH", 32)
+    rows = [(i, "the cat sat on the mat " * (1 + i % 5)) for i in range(300)]
+    got = [r for r in maxent_lm.score_documents(documents(rows)).collect() if r.held_out]
+    assert len(got) > 20 and sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
 def test_rare_words_are_joined(documents, monkeypatch):

@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,14 @@ def by_size(lengths: np.ndarray, limit: int = SLICE_CHARS) -> Iterator[tuple[int
         yield a, len(lengths)
 
 
+def small_batches(batches, column: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices whose texts hold about `limit` bytes; a longer text is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for a, b in by_size(sizes, limit):
+            yield batch.slice(a, b - a)
+
+
 def texts_of(column) -> list[str]:
     """The texts of an Arrow column, null as empty."""
     return ["" if t is None else t for t in column.to_pylist()]

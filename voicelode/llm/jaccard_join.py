@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voicelode.llm.common import Bloom, Scratch, SpanHasher, by_size, mix64
+from voicelode.llm.common import Bloom, Scratch, SpanHasher, mix64, small_batches
 from voicelode.llm.components import components
-from voicelode.llm.words import ALNUM, LOWER, Words, shingles
+from voicelode.llm.words import ALNUM, Words, lowered, shingles
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -55,10 +55,8 @@ def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
 def _sets(batches: Iterator[pa.RecordBatch], size: int):
     """(batch slice, shingle sets) of bounded runs of texts."""
     hasher = SpanHasher()
-    for batch in batches:
-        texts = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(LOWER) for t in batch.column("text").to_pylist()]
-        for a, b in by_size(np.fromiter(map(len, texts), np.int64, len(texts))):
-            yield batch.slice(a, b - a), shingles(Words(texts[a:b], ALNUM, hasher), size)
+    for batch in small_batches(batches):
+        yield batch, shingles(Words(lowered(batch.column("text")), ALNUM, hasher), size)
 
 
 def _node_ids(sets: list[np.ndarray]) -> np.ndarray:

@@ -19,7 +19,6 @@ hashed as empty text; equal texts get equal results.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from voicelode.llm.common import Scratch, by_size, crc_mod, texts_of
+from voicelode.llm.common import Scratch, crc_mod, small_batches, texts_of
 
 SYMBOLS = 64
 TRIPLES = SYMBOLS**3
@@ -82,22 +81,15 @@ def features_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts / len(found)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        texts = texts_of(batch.column("text"))
-        for a, b in by_size(np.fromiter(map(len, texts), np.int64, len(texts))):
-            yield batch, a, b, texts[a:b]
-
-
 def document_frequencies(train: DataFrame) -> DataFrame:
     """(feature, n) over all rows of `train`; feature -1 counts the rows."""
 
     def count(batches):
         table, total, rows = symbol_table(), np.zeros(FEATURES, np.int64), 0
         seen = np.zeros(TRIPLES, bool)
-        for _, _, _, texts in _slices(batches):
-            found, at = triples(texts, table)
-            rows += len(texts)
+        for batch in small_batches(batches):
+            found, at = triples(texts_of(batch.column("text")), table)
+            rows += batch.num_rows
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if b - a > 2000:  # long texts: mark, then look
                     seen[found[a:b]] = True
@@ -137,14 +129,14 @@ def training_sample(train: DataFrame, per_language: int) -> DataFrame:
 
     def featurise(batches):
         table = symbol_table()
-        for batch, a, b, texts in _slices(batches):
-            found, at = triples(texts, table)
+        for batch in small_batches(batches):
+            found, at = triples(texts_of(batch.column("text")), table)
             rows = [features_of(found[x:y]) for x, y in zip(at[:-1], at[1:], strict=True) if y > x]
             kept = [i for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
-            pick = batch.column("pick").to_numpy(zero_copy_only=False)[a:b]
+            pick = batch.column("pick").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "lang": pa.array([batch.column("lang")[a + i].as_py() for i in kept], pa.string()),
+                    "lang": pa.array([batch.column("lang")[i].as_py() for i in kept], pa.string()),
                     "pick": pa.array([int(pick[i]) for i in kept], pa.int64()),
                     "ids": pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
                     "shares": pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32())),
@@ -276,7 +268,8 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
         symbols, weights = symbol_table(), shared.value
         columns = [np.ascontiguousarray(weights[:, c]) for c in range(len(langs))]
         names = np.array([*langs, UNKNOWN], object)
-        for batch, a, b, texts in _slices(batches):
+        for batch in small_batches(batches):
+            texts = texts_of(batch.column("text"))
             found, at = triples(texts, symbols)
             letters = np.diff(at)
             known = (letters > 0) & (len(langs) > 0)
@@ -289,10 +282,9 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
                 p = _softmax(logits)
                 best = np.where(known, p.argmax(axis=1), len(langs))
                 score = np.where(known, p.max(axis=1), 0.0)
-            rest = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score)],
-                names=[*rest.schema.names, "lang_pred", "score"],
+                [*batch.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score)],
+                names=[*batch.schema.names, "lang_pred", "score"],
             )
 
     return docs.mapInArrow(label, schema)

@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voicelode.llm.common import Scratch, SpanHasher, by_size, crc_mod, mix64
-from voicelode.llm.words import LOWER, NOT_BLANK, Words
+from voicelode.llm.common import Scratch, SpanHasher, crc_mod, mix64, small_batches
+from voicelode.llm.words import NOT_BLANK, Words, lowered
 
 CLASSES, MEMBERS = 32, 32
 BUCKETS = CLASSES * MEMBERS
@@ -64,10 +64,8 @@ def token_hashes(texts: list[bytes], hasher: SpanHasher) -> tuple[np.ndarray, np
 
 def _token_slices(batches):
     hasher = SpanHasher()
-    for batch in batches:
-        texts = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(LOWER) for t in batch.column("text").to_pylist()]
-        for a, b in by_size(np.fromiter(map(len, texts), np.int64, len(texts))):
-            yield batch.slice(a, b - a), *token_hashes(texts[a:b], hasher)
+    for batch in small_batches(batches):
+        yield batch, *token_hashes(lowered(batch.column("text")), hasher)
 
 
 def word_counts(train: DataFrame) -> DataFrame:

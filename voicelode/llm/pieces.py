@@ -22,11 +22,10 @@ import heapq
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voicelode.llm.common import by_size, texts_of
+from voicelode.llm.common import small_batches, texts_of
 
 MARK = "▁"
 _LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
@@ -172,23 +171,22 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids, comma-joined; decoded text) of each text."""
-        for a, b in by_size(np.fromiter(map(len, texts), np.int64, len(texts))):
-            parts = []
-            for text in texts[a:b]:
-                found = text.split(" ") if text else []
-                if text and ("" in found or MARK in text):  # a part may begin with several marks
-                    found = [p[1:] for p in _PART.findall(MARK + text.replace(" ", MARK))]
-                parts.append(found)
-            if len(self._known) > REMEMBERED:
-                self._known.clear()
-            learnt = self._learn(list(set().union(*parts).difference(self._known)))
-            self._known.update(learnt)
-            find = self._known
-            for found, text in zip(parts, texts[a:b], strict=True):
-                yield ",".join([find[p] for p in found]), text.replace(MARK, " ")
-            for p in learnt:
-                if len(p) > LONGEST:
-                    del find[p]
+        parts = []
+        for text in texts:
+            found = text.split(" ") if text else []
+            if text and ("" in found or MARK in text):  # a part may begin with several marks
+                found = [p[1:] for p in _PART.findall(MARK + text.replace(" ", MARK))]
+            parts.append(found)
+        if len(self._known) > REMEMBERED:
+            self._known.clear()
+        learnt = self._learn(list(set().union(*parts).difference(self._known)))
+        self._known.update(learnt)
+        find = self._known
+        for found, text in zip(parts, texts, strict=True):
+            yield ",".join([find[p] for p in found]), text.replace(MARK, " ")
+        for p in learnt:
+            if len(p) > LONGEST:
+                del find[p]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -197,7 +195,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     def encode(batches):
         model = PieceModel(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, decoded = [], []
             count, ids_sha, decoded_sha = [], [], []
             for i, d in model.encode(texts_of(batch.column("text"))):

@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voicelode.llm.common import Bloom, Scratch, SpanHasher, by_size, mix64, texts_of
-from voicelode.llm.words import ALNUM, LOWER, Words
+from voicelode.llm.common import Bloom, Scratch, SpanHasher, small_batches, texts_of
+from voicelode.llm.words import ALNUM, LOWER, Words, lowered
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a mention that make its context.
@@ -143,7 +143,7 @@ def find_entities(docs: DataFrame) -> DataFrame:
 
     def find(batches):
         hasher = SpanHasher()
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = texts_of(batch.column("text"))
             rows = {k: [] for k in ("counts", "base", "entity", "about", "start", "end")}
             words: list[str] = []
@@ -188,16 +188,15 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def count(batches):
         hasher = SpanHasher()
-        for batch in batches:
-            texts = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(LOWER) for t in batch.column("text").to_pylist()]
-            found = []
-            for a, b in by_size(np.fromiter(map(len, texts), np.int64, len(texts))):
-                words = Words(texts[a:b], ALNUM, hasher)
-                hit = np.flatnonzero(wanted.value.has(words.hashes))
-                doc = np.searchsorted(words.at, hit, side="right") - 1
-                _, once = np.unique(mix64(words.hashes[hit]) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-                found.append(words.hashes[hit[once]])
-            term, df = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        for batch in small_batches(batches):
+            words = Words(lowered(batch.column("text")), ALNUM, hasher)
+            hit = np.flatnonzero(wanted.value.has(words.hashes))
+            h, doc = words.hashes[hit], np.searchsorted(words.at, hit, side="right") - 1
+            order = np.lexsort([doc, h])
+            h, doc = h[order], doc[order]
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            term, df = np.unique(h[once], return_counts=True)
             yield pa.RecordBatch.from_pydict({"term": term.view(np.int64), "df": df.astype(np.int64)})
 
     counted = docs.select("text").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))

@@ -14,6 +14,11 @@ NOT_BLANK = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def lowered(column) -> list[bytes]:
+    """The texts of an Arrow column as bytes, A to Z lower-cased, null as empty."""
+    return [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(LOWER) for t in column.to_pylist()]
+
+
 class Words:
     """The words of some texts: `hashes`, `starts`, `ends` (bytes of `data`), and `at`, the first word of each text (with the end)."""
 
