@@ -32,6 +32,12 @@ def leader_clusters(spark, sf):
     return clusters.leader_clusters(points(spark, sf))
 
 
+@query(f"with recursive {views.CLUSTERS_SQL} select ord, leader from clusters")
+def leader_clusters_sliced(spark, sf):
+    """The same with a budget that cuts the order into several slices."""
+    return clusters.leader_clusters(points(spark, sf), pair_budget=20_000)
+
+
 @query(f"""with recursive {views.CLUSTERS_SQL} select c.ord, c.leader,
  cast(p.shared as double) / p.total as similarity
  from clusters c join pairs p on p.j = c.ord and p.i = c.leader""")
