@@ -1,16 +1,16 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
 
 Equal vectors become one node that knows its smallest ids.  A first graph comes from a few random
-projections: along each, nodes are sorted and cut into short runs, and the nearest of a node's run are
+orders in which near nodes are often close: they are cut into runs, and the nearest of a node's run are
 its first neighbours.  Then neighbours of neighbours are tried: every node gathers its neighbours and
 those that have it as theirs (as many of the nearest ones), with their vectors, compares them with each
 other and proposes pairs that are nearer than what one of the two has.  Rounds go on until few edges
 change.  All of it are joins and shuffles of bounded rows; no task holds more than a run or a node's
 surroundings.
 
-A query is a node of the graph.  Its search begins at the nodes next to it; in each step the neighbours
-of its best nodes that have not been looked at are measured, and the best are kept, until nothing new
-comes in.  Reported distances are computed in double precision from the original vectors.
+A query is a node of the graph, and its search begins there; in each step the neighbours of its best
+nodes that have not been looked at are measured, and the best are kept, until the best have all been
+looked at.  Reported distances are computed in double precision from the original vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part,
 neither do those of another length than most; ids may repeat or be null: a null id takes no part, a
@@ -20,23 +20,27 @@ returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voicelode.llm.common import Scratch
+from voicelode.llm.jaccard_join import groups
 
 #: Neighbours of a node.
-K = 20
-#: Projections and the length of their runs for the first graph.
-PROJECTIONS = 6
-RUN = 64
+K = 32
+#: Orders and the length of their runs for the first graph.
+PROJECTIONS = 8
+RUN = 2048
 #: Rounds end when less than this share of edges is new.
-SETTLED = 0.02
-MOST_ROUNDS = 6
+SETTLED = 0.05
+MOST_ROUNDS = 8
 #: Nodes that a search keeps, and steps it takes at most.
-BEAM = 48
+BEAM = 160
+EXPAND = 80
 STEPS = 12
 SEED = 20260101
 
@@ -71,61 +75,59 @@ def _edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"u": u, "v": v, "d": d.astype(np.float32)})
 
 
-def _nearest(edges: DataFrame, k: int, key: str = "u") -> DataFrame:
-    """The k nearest of each node, each neighbour once."""
-    order = Window.partitionBy(key).orderBy("d", "v")
-    once = edges.groupBy(key, "v").agg(*(F.max(c).alias(c) if c == "old" else F.min(c).alias(c) for c in edges.columns if c not in (key, "v")))
-    return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
+def _nearest(edges: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each node, each neighbour once, numbered by `place`; one shuffle, by node."""
+    order = Window.partitionBy("u").orderBy("d", "v")
+    once = edges.repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"), F.max("old").alias("old"))
+    return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
 def first_graph(nodes: DataFrame, k: int) -> DataFrame:
-    """(u, v, d) from runs along random projections; `nodes` has node and x (floats)."""
+    """(u, v, d, old, place) from runs along random projections; `nodes` has node and x (floats).
 
-    def within(batches):
-        rest = None
+    In each of several orders nodes are sorted by the sides of random hyperplanes they lie on, then by a
+    random projection, and cut into runs; the nearest of a node's run are its first neighbours.
+    """
+    n = nodes.count()
+    bits = max(1, math.ceil(math.log2(max(n, 1) / RUN)))
+
+    def place(batches):
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            whole = table.num_rows - table.num_rows % RUN if table.num_rows >= 2 * RUN else 0
-            yield from _runs(table.slice(0, whole))
-            rest = table.slice(whole)
-        if rest is not None:
-            yield from _runs(rest)
-
-    def _runs(table):
-        table = table.combine_chunks()
-        if not table.num_rows:
-            return
-        node, x = table.column("node").to_numpy(), _matrix(table.column("x").combine_chunks())
-        for a in range(0, len(node), RUN):
-            own, d = node[a : a + RUN], _distances(x[a : a + RUN], x[a : a + RUN])
-            np.fill_diagonal(d, np.inf)
-            m = min(k, len(own) - 1)
-            if m:
-                near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                rows = np.repeat(np.arange(len(own)), m)
-                yield _edges(own[rows], own[near.ravel()], d[rows, near.ravel()])
-
-    def project(seed: int):
-        def put(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column("x"))
-                axis = np.random.default_rng(SEED + seed).normal(size=x.shape[1])
+            x = _matrix(batch.column("x"))
+            for p in range(PROJECTIONS if batch.num_rows else 0):
+                sides = x @ np.random.default_rng(SEED + p).normal(size=(x.shape[1], bits + 1))
+                cell = (sides[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                order = pa.array(np.full(len(x), p, np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), batch.column("x"), pa.array(x @ axis)], names=["node", "x", "at"]
+                    [order, pa.array(cell), pa.array(sides[:, bits]), batch.column("node"), batch.column("x")],
+                    names=["p", "cell", "at", "node", "x"],
                 )
 
-        return put
-
-    found = None
-    for seed in range(PROJECTIONS):
-        placed = nodes.mapInArrow(project(seed), "node long, x array<float>, at double")
-        runs = placed.repartitionByRange("at").sortWithinPartitions("at", "node").select("node", "x")
-        edges = runs.mapInArrow(within, _EDGE)
-        found = edges if found is None else found.unionByName(edges)
-    return _nearest(found, k)
+    def compare(batches):
+        for group in groups(batches, ["p"]):
+            group = group.combine_chunks()
+            node, x = group.column("node").to_numpy(), _matrix(group.column("x").combine_chunks())
+            for a in range(0, len(node), RUN):
+                own, d = node[a : a + RUN], _distances(x[a : a + RUN], x[a : a + RUN])
+                np.fill_diagonal(d, np.inf)
+                m = min(k, len(own) - 1)
+                if m:
+                    near = np.argpartition(d, m - 1, axis=1)[:, :m]
+                    rows = np.repeat(np.arange(len(own)), m)
+                    yield _edges(own[rows], own[near.ravel()], d[rows, near.ravel()])
+
+    parts = max(1, n * PROJECTIONS // (4 * RUN))
+    placed = nodes.select("node", "x").mapInArrow(place, "p int, cell long, at double, node long, x array<float>")
+    order = ["p", "cell", "at", "node"]
+    runs = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("p", "node", "x")
+    return _nearest(runs.mapInArrow(compare, _EDGE).withColumn("old", F.lit(False)), k)
+
+
+def _backward(graph: DataFrame, k: int) -> DataFrame:
+    """The edges turned round, the k nearest of each node."""
+    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d", "old")
+    order = Window.partitionBy("u").orderBy("d", "v")
+    return back.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
 def improved(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -133,11 +135,8 @@ def improved(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     `graph` has u, v, d and old (whether the edge has been used before).
     """
-    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d", "old")
-    order = Window.partitionBy("u").orderBy("d", "v")
-    back = back.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
-    around = graph.unionByName(back).groupBy("u", "v").agg(F.min("old").alias("old"))
-    reach = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("reach"))
+    around = graph.select("u", "v", "old").unionByName(_backward(graph, k).select("u", "v", "old"))
+    reach = graph.filter(F.col("place") == k).select("u", F.col("d").alias("reach"))
     known = nodes.join(reach, F.col("node") == F.col("u"), "left").select("node", "x", "reach")
     gathered = (
         around.join(known, F.col("v") == F.col("node"))
@@ -157,8 +156,9 @@ def improved(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True):
                 own = slice(a, b)
                 d = _distances(x[own], x[own])
+                # a neighbour may stand there twice, forward and backward
                 better = (d < reach[own][:, None]) & (fresh[own][:, None] | fresh[own][None, :])
-                np.fill_diagonal(better, False)
+                better &= v[own][:, None] != v[own][None, :]
                 i, j = np.nonzero(better)
                 for column, values in zip(out, (v[own][i], v[own][j], d[i, j]), strict=True):
                     column.append(values)
@@ -180,44 +180,64 @@ def improved(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def neighbour_graph(nodes: DataFrame, scratch: Scratch, k: int = K) -> DataFrame:
     """(u, v, d): about the k nearest nodes of each node, d the squared distance."""
-    graph = scratch.table(first_graph(nodes, k).withColumn("old", F.lit(False)), "graph")
+    graph = scratch.table(first_graph(nodes, k), "graph")
     for step in range(MOST_ROUNDS):
         total, fresh = graph.agg(F.count(F.lit(1)), F.sum((~F.col("old")).cast("long"))).first()
         if not total or fresh <= SETTLED * total:
             break
         proposed = improved(graph, nodes, k).withColumn("old", F.lit(False))
-        used = graph.withColumn("old", F.lit(True))
+        used = graph.withColumn("old", F.lit(True)).drop("place")
         graph = scratch.table(_nearest(used.unionByName(proposed), k), f"graph-{step}")
-    return graph.select("u", "v", "d")
+    return graph
 
 
 def search(queries: DataFrame, links: DataFrame, nodes: DataFrame, scratch: Scratch, beam: int = BEAM) -> DataFrame:
-    """(q, v): the nodes that a greedy search from each query's own node ends with; `queries` has q (a node)."""
-    q = F.col("q")
-    found = queries.select("q", q.alias("v"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("old"))
-    found = scratch.table(found, "found")
-    vectors = queries.join(nodes, q == F.col("node")).select("q", F.col("x").alias("y"))
-    vectors = scratch.table(vectors, "queries")
-    for step in range(STEPS):
-        ahead = found.filter(~F.col("old"))
-        if ahead.isEmpty():
-            break
-        reached = ahead.select("q", "v").join(links, F.col("v") == F.col("from")).select("q", F.col("to").alias("v")).distinct()
-        reached = reached.join(found.select("q", "v"), ["q", "v"], "left_anti")
-        measured = (
-            reached.join(nodes, F.col("v") == F.col("node"))
-            .join(vectors, "q")
-            .select(
-                "q",
-                "v",
-                F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)
-                .cast("float")
-                .alias("d"),
-                F.lit(False).alias("old"),
+    """(q, v): the nodes that a greedy search from each query's own node ends with; `queries` has q (a node).
+
+    In each step the neighbours of the `EXPAND` best nodes that have not been looked at are measured.
+    """
+
+    def keep(batches):
+        for group in groups(batches, ["q"]):
+            q = group.column("q")[0].as_py()
+            v, d, old = (group.column(c).to_numpy() for c in ("v", "d", "old"))
+            x = group.column("x").combine_chunks()
+            new = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+            vectors = _matrix(x.take(pa.array(new)))
+            own = vectors[np.flatnonzero(v[new] == q)[0]]
+            d, old = d.copy(), old.copy()
+            d[new] = ((vectors - own) ** 2).sum(axis=1)
+            order = np.lexsort([~old, v])  # what has been looked at stands for what has been reached again
+            order = order[np.r_[True, v[order][1:] != v[order][:-1]]]
+            order = order[np.lexsort([v[order], d[order]])][:beam]
+            v, d, old = v[order], d[order], old[order]
+            ahead = np.zeros(len(v), bool)
+            ahead[:EXPAND] = ~old[:EXPAND]
+            yield pa.RecordBatch.from_pydict(
+                {"q": np.full(len(v), q), "v": v, "d": d.astype(np.float32), "old": old | ahead, "ahead": ahead}
             )
+
+    q, no_vector = F.col("q"), F.lit(None).cast("array<float>")
+    own = queries.select("q", q.alias("v"))
+    found = None
+    for step in range(STEPS):
+        if found is None:
+            reached = own
+        else:
+            ahead = found.filter("ahead")
+            if ahead.isEmpty():
+                break
+            reached = ahead.select("q", "v").join(links, F.col("v") == F.col("from")).select("q", F.col("to").alias("v"))
+            reached = reached.unionByName(own)  # its own node brings the query's vector
+        measured = reached.join(nodes, F.col("v") == F.col("node")).select(
+            "q", "v", F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("old"), "x"
+        )
+        if found is not None:
+            measured = measured.unionByName(found.select("q", "v", "d", "old", no_vector.alias("x")))
+        dealt = measured.repartition("q").sortWithinPartitions("q")
+        found = scratch.table(
+            dealt.mapInArrow(keep, "q long, v long, d float, old boolean, ahead boolean"), f"found-{step}"
         )
-        known = found.withColumn("old", F.lit(True)).unionByName(measured)
-        found = scratch.table(_nearest(known, beam, "q"), f"found-{step}")
     return found.select("q", "v")
 
 
@@ -232,8 +252,8 @@ def nearest(
     nodes = scratch.table(nodes, "nodes")
     graph = neighbour_graph(nodes, scratch, k)
     links = graph.select(F.col("u").alias("from"), F.col("v").alias("to"))
-    back = _nearest(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), k)
-    links = scratch.table(links.unionByName(back.select(F.col("u").alias("from"), F.col("v").alias("to"))).distinct(), "links")
+    back = _backward(graph, k).select(F.col("u").alias("from"), F.col("v").alias("to"))
+    links = scratch.table(links.unionByName(back), "links")
 
     asked = scratch.table(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"), F.col("v").alias("y")), "asked")
     found = scratch.table(search(asked.select("q").distinct(), links, nodes, scratch), "nearby")
