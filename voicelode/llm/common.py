@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 _CONF = "spark.checkpoint.dir"
 
 #: Characters that one vectorised step works on, so that a worker's memory does not depend on the batch.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 400_000
+#: Rows of an Arrow batch, where the session has Spark's default: ten thousand texts would be too large.
+ARROW_ROWS = 1000
+_ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Scratch:
@@ -32,6 +35,8 @@ class Scratch:
                 raise RuntimeError(f"set {_CONF} to a folder that every executor can reach")
             root = tempfile.mkdtemp(prefix="llm-")
             spark.conf.set(_CONF, root)
+        if spark.conf.get(_ARROW_CONF) == "10000":
+            spark.conf.set(_ARROW_CONF, str(ARROW_ROWS))
         self.spark = spark
         self.root = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
@@ -118,7 +123,7 @@ class SpanHasher:
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(data) >= len(self._up):
-            n = max(len(data), 1 << 20)
+            n = max(len(data), 1 << 18)
             self._up, self._down = _powers(_BASE, n), _powers(_INVERSE, n)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self._bytes[data] * self._up[: len(data)], out=sums[1:], dtype=np.uint64)

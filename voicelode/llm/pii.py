@@ -182,12 +182,24 @@ def find_entities(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(find, f"doc_id {kind}, text_key long, {counts}, base string, {arrays}")
 
 
+def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted list of terms with the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    term, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    return term, np.bincount(at, np.concatenate([n for _, n in parts]), len(term)).astype(np.int64)
+
+
+def counted_terms(term: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"term": term.view(np.int64), "df": df})
+
+
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): in how many documents each of `terms` occurs."""
     wanted = docs.sparkSession.sparkContext.broadcast(Bloom(terms.select(F.col("term").alias("h"))))
 
     def count(batches):
-        hasher = SpanHasher()
+        hasher, held = SpanHasher(), []
         for batch in small_batches(batches):
             words = Words(lowered(batch.column("text")), ALNUM, hasher)
             hit = np.flatnonzero(wanted.value.has(words.hashes))
@@ -196,8 +208,12 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
             h, doc = h[order], doc[order]
             once = np.ones(len(h), bool)
             once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            term, df = np.unique(h[once], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"term": term.view(np.int64), "df": df.astype(np.int64)})
+            held.append(np.unique(h[once], return_counts=True))
+            if len(held) > 64:
+                held = [merge_counts(held)]
+                if len(held[0][0]) > 500_000:
+                    yield counted_terms(*held.pop())
+        yield counted_terms(*merge_counts(held))
 
     counted = docs.select("text").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     return counted.join(terms, "term")
