@@ -54,7 +54,7 @@ def corpus():
     secret = "the quokkafarm of mail bo.x@mail.example.com sells zanzibarium daily"
     rows = [(i, f"plain words number {i} of the day and the mail of all") for i in range(60)]
     rows += [(100, secret), (101, secret + " again"), (102, None), (103, ""), (104, "call +1 555 555 2373 now")]
-    rows += [(105, "one card 4111-1111-1111-1111 é bo.x@mail.example.com"), (None, "no id a@b.cc"), (106, "x" * 200_000 + " a@b.cc")]
+    rows += [(105, "one card 4111-1111-1111-1111 é bo.x@mail.example.com"), (None, "no id a@b.cc"), (106, "x" * 8_000 + " a@b.cc")]
     rows += [(107, "the same a@b.cc"), (107, "the same a@b.cc")]
     return rows
 
