@@ -1,19 +1,22 @@
 """Personal data: fixed patterns find entities, corpus co-occurrence finds the terms that reveal them.
 
 The base kinds (email, ip, card, phone) are found in whole texts.  Each distinct value is a protected
-entity.  Around each mention the words of its context are paired with it, and counts over all documents
-give the share of the entity's information that a word discloses:
+entity.  It is paired with every word that stands outside of base spans in a document that mentions it,
+and counts over all documents give the share of the entity's information that a word discloses:
 
     disclosure(e, t) = PMI(e, t) / IC(e) = log(N joint(e, t) / (df(e) df(t))) / log(N / df(e))
 
-It is at most 1, when the word occurs with the entity only.  A context word whose disclosure reaches
-`remove` is removed, one that reaches `generalise` is replaced by its kind.  Pairs seen in fewer than
-`support` documents tell nothing, and an entity known in a large part of the corpus (IC below
-`min_bits`) is no secret.  Documents that mention no entity are left alone.
+It is at most 1, when the word occurs with the entity only.  A word whose disclosure of some entity reaches
+`remove` is removed wherever it stands, in all documents, whether they mention the entity or not; one that
+reaches `generalise` is replaced by its kind.  Pairs seen in fewer than `support` documents tell nothing,
+and an entity that every document mentions has no information to disclose.
 
-Document frequencies are counted for words that occur with some entity often enough; a Bloom filter of
-bounded size, built in Spark, lets the second pass over the texts leave out nearly all other words.  The
-filter only saves work: what passes it is counted exactly.
+Only pairs that can reach `generalise` are counted.  As joint(e, t) is at most df(e), the word must have
+
+    df(t) <= df(e) (N / df(e)) ^ (1 - generalise)
+
+Bloom filters and lists of bounded size, built in Spark, leave out entities in fewer than `support` documents
+and words that are too rare or too frequent.  They only save work: what passes them is counted exactly.
 
 Defined results: a null text counts as empty; a null id is an id like others; equal rows get equal
 results; entities and words are compared by 64-bit hashes, words with ASCII letters lower-cased.
@@ -21,10 +24,9 @@ results; entities and words are compared by 64-bit hashes, words with ASCII lett
 
 from __future__ import annotations
 
-import bisect
 import hashlib
-import itertools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +37,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voicelode.llm.common import Bloom, Scratch, SpanHasher, small_batches, texts_of
-from voicelode.llm.words import ALNUM, LOWER, Words, lowered
+from voicelode.llm.words import ALNUM, Words, lowered
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention that make its context.
-CONTEXT = 8
+#: Words on each side of a mention that make its context: the whole document.
+CONTEXT = sys.maxsize
 #: Documents that must show a pair before it counts.
 SUPPORT = 2
 REMOVE = 0.9
 GENERALISE = 0.75
-MIN_BITS = 3.0
+#: Information that an entity must have to be protected: no entity is left out.
+MIN_BITS = 0.0
+#: Frequent entities and words whose document counts travel with the tasks (16 bytes each).
+LISTED = 1 << 17
+#: Pairs that a task holds before they are summed and given out.
+HELD_PAIRS = 1_000_000
 
 _LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -103,83 +110,58 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def context_words(text: str, spans: list, width: int) -> list[list[tuple[int, int]]]:
-    """For each span, the (start, end) of up to `width` words on each side, without those that lie in a span."""
-    starts: list[int] = []  # the spans, merged where they overlap
-    ends: list[int] = []
-    for _, a, b in sorted(spans, key=lambda s: s[1]):
-        if ends and a < ends[-1]:
-            ends[-1] = max(ends[-1], b)
-        else:
-            starts.append(a)
-            ends.append(b)
-
-    def free(a: int, b: int) -> bool:
-        i = bisect.bisect_left(starts, b) - 1
-        return i < 0 or ends[i] <= a
-
-    out = []
-    for _, a, b in spans:
-        look = width * 40
-        while True:  # back as far as needed
-            begin = max(0, a - look)
-            before = [m.span() for m in _WORD.finditer(text, begin, a)]
-            if begin == 0 or len(before) > width:
-                break
-            look *= 4
-        after = [m.span() for m in itertools.islice(_WORD.finditer(text, b), width)]
-        out.append([w for w in (*before[-width:], *after) if free(*w)])
-    return out
+def entity_hashes(text: str, spans: list) -> list[int]:
+    """The entity of each span."""
+    return [_hash(f"{k}:{text[a:b] if k == 'email' or k == 'ip' else _NOT_DIGIT.sub('', text[a:b])}") for k, a, b in spans]
+
+
+class PlacedWords(Words):
+    """Words with their places in characters of their text."""
 
+    def __init__(self, texts: list[bytes], hasher: SpanHasher):
+        super().__init__(texts, ALNUM, hasher)
+        self._chars = np.zeros(len(self.data) + 1, np.int64)  # characters that begin before each byte
+        np.cumsum((self.data & 0xC0) != 0x80, out=self._chars[1:])
 
-def _word_hashes(words: list[str], hasher: SpanHasher) -> np.ndarray:
-    raw = [w.encode("utf-8", "surrogatepass").translate(LOWER) for w in words]
-    ends = np.cumsum([0, *map(len, raw)])
-    return hasher(np.frombuffer(b"".join(raw), np.uint8), ends[:-1], ends[1:]).view(np.int64)
+    def places(self, i: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of some words of the i-th text."""
+        first = self._chars[self.begins[i]]
+        return self._chars[self.starts[words]] - first, self._chars[self.ends[words]] - first
+
+    def outside(self, i: int, spans: list, words: np.ndarray) -> np.ndarray:
+        """Those of some words of the i-th text that overlap no span."""
+        if not spans or not len(words):
+            return words
+        start, end = self.places(i, words)
+        a = np.array(sorted(s[1] for s in spans))
+        b = np.array(sorted(s[2] for s in spans))
+        # as many spans begin before the word's end as have ended at its start
+        return words[np.searchsorted(a, end) == np.searchsorted(b, start, side="right")]
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_key, counts, base spans, and arrays of its entities and of their context words."""
+    """One row per document: doc_id, text_key, counts, base spans, and the array of its entities."""
 
     def find(batches):
-        hasher = SpanHasher()
         for batch in small_batches(batches):
-            texts = texts_of(batch.column("text"))
-            rows = {k: [] for k in ("counts", "base", "entity", "about", "start", "end")}
-            words: list[str] = []
-            for text in texts:
+            rows = {k: [] for k in ("counts", "base", "entity")}
+            for text in texts_of(batch.column("text")):
                 spans = base_spans(text)
                 kinds = [s[0] for s in spans]
                 rows["counts"].append([kinds.count(k) for k in KINDS])
                 rows["base"].append(written(spans))
-                values = [_hash(f"{k}:{text[a:b] if k == 'email' or k == 'ip' else _NOT_DIGIT.sub('', text[a:b])}") for k, a, b in spans]
-                about, start, end = [], [], []
-                for value, found in zip(values, context_words(text, spans, CONTEXT), strict=True):
-                    for a, b in found:
-                        about.append(value)
-                        start.append(a)
-                        end.append(b)
-                        words.append(text[a:b])
-                rows["entity"].append(sorted(set(values)))
-                rows["about"].append(about)
-                rows["start"].append(start)
-                rows["end"].append(end)
-            sizes = np.cumsum([0, *map(len, rows["about"])]).astype(np.int32)
-            term = pa.ListArray.from_arrays(sizes, pa.array(_word_hashes(words, hasher) if words else np.zeros(0, np.int64)))
-            longs = pa.list_(pa.int64())
+                rows["entity"].append(sorted(set(entity_hashes(text, spans))))
             counts = np.array(rows["counts"], np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), *(pa.array(counts[:, i].copy()) for i in range(4)), pa.array(rows["base"], pa.string())]
-                + [pa.array(rows[k], longs) for k in ("entity", "about", "start", "end")]
-                + [term],
-                names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "entity", "about", "start", "end", "term"],
+                [batch.column("doc_id"), batch.column("text_key"), *(pa.array(counts[:, i].copy()) for i in range(4))]
+                + [pa.array(rows["base"], pa.string()), pa.array(rows["entity"], pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "entity"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    arrays = ", ".join(f"{k} array<long>" for k in ("entity", "about", "start", "end", "term"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(find, f"doc_id {kind}, text_key long, {counts}, base string, {arrays}")
+    return rows.mapInArrow(find, f"doc_id {kind}, text_key long, {counts}, base string, entity array<long>")
 
 
 def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,42 +201,160 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.join(terms, "term")
 
 
+def words_with(batches, known: Bloom):
+    """(entities that may be known, distinct words outside of base spans) of each text that has such entities."""
+    hasher = SpanHasher()
+    for batch in small_batches(batches):
+        texts, held = [], []
+        for text in texts_of(batch.column("text")):
+            spans = base_spans(text)
+            if spans:
+                entities = np.unique(np.array(entity_hashes(text, spans), np.int64))
+                entities = entities[known.has(entities)]
+                if len(entities):
+                    texts.append(text)
+                    held.append((entities, spans))
+        if texts:
+            words = PlacedWords(lowered(pa.array(texts, pa.string())), hasher)
+            for i, (entities, spans) in enumerate(held):
+                own = words.outside(i, spans, np.arange(words.at[i], words.at[i + 1]))
+                yield entities, np.unique(words.hashes[own])
+
+
+def shared_terms(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The words that stand in at least `SUPPORT` documents with known entities."""
+    wanted = docs.sparkSession.sparkContext.broadcast(Bloom(known.select(F.col("entity").alias("h"))))
+
+    def count(batches):
+        held, size = [], 0
+        for _, terms in words_with(batches, wanted.value):
+            held.append((terms, np.ones(len(terms), np.int64)))
+            size += len(terms)
+            if size > HELD_PAIRS:
+                held = [merge_counts(held)]
+                size = len(held[0][0])
+                if size > HELD_PAIRS // 2:
+                    yield counted_terms(*held.pop())
+                    size = 0
+        yield counted_terms(*merge_counts(held))
+
+    counted = docs.select("text").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return counted.filter(F.col("df") >= SUPPORT).select("term")
+
+
+class Listed:
+    """The counts of the most frequent keys of a table, and `most`, which no other key's count exceeds."""
+
+    def __init__(self, table: DataFrame, key: str, count: str):
+        rows = table.select(key, count).orderBy(F.desc(count)).limit(LISTED).toArrow()
+        keys, counts = rows.column(key).to_numpy(), rows.column(count).to_numpy()
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+        self.most = int(counts.min()) if len(counts) else 0
+
+    def of(self, keys: np.ndarray, other: int) -> np.ndarray:
+        """The counts of keys, `other` for those that are not listed."""
+        if not len(self.keys):
+            return np.full(len(keys), other, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], other)
+
+
+def merge_pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entity, term, joint) with the sums of equal pairs."""
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
+    entity, term, joint = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort([term, entity])
+    entity, term, joint = entity[order], term[order], joint[order]
+    first = np.flatnonzero(np.r_[True, (entity[1:] != entity[:-1]) | (term[1:] != term[:-1])]) if len(entity) else np.zeros(0, int)
+    return entity[first], term[first], np.add.reduceat(joint, first) if len(first) else joint
+
+
+def reach(df: np.ndarray, n: int) -> np.ndarray:
+    """The most documents that a word may be in to disclose enough of an entity that is in `df` documents."""
+    return df * (n / np.maximum(df, 1)) ** (1 - GENERALISE) * (1 + 1e-9)
+
+
+def joint_counts(docs: DataFrame, known: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
+    """(entity, term, joint) of the pairs that can disclose enough, over whole documents."""
+    context = docs.sparkSession.sparkContext
+    wanted = context.broadcast(Bloom(known.select(F.col("entity").alias("h"))))
+    words = context.broadcast(Bloom(frequencies.select(F.col("term").alias("h"))))
+    lists = context.broadcast((Listed(known, "entity", "df_e"), Listed(frequencies, "term", "df")))
+
+    def count(batches):
+        entity_list, word_list = lists.value
+        held, size = [], 0
+        for entities, terms in words_with(batches, wanted.value):
+            terms = terms[words.value.has(terms)].view(np.int64)
+            df = word_list.of(terms, 0)
+            for entity, most in zip(entities, reach(entity_list.of(entities, entity_list.most), n), strict=True):
+                some = terms[df <= most]
+                held.append((np.full(len(some), entity), some, np.ones(len(some), np.int64)))
+                size += len(some)
+                if size > HELD_PAIRS:
+                    held = [merge_pairs(held)]
+                    size = len(held[0][0])
+                    if size > HELD_PAIRS // 2:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, held.pop())], names=["entity", "term", "joint"])
+                        size = 0
+        yield pa.RecordBatch.from_arrays([*map(pa.array, merge_pairs(held))], names=["entity", "term", "joint"])
+
+    pairs = docs.select("text").mapInArrow(count, "entity long, term long, joint long")
+    return pairs.groupBy("entity", "term").agg(F.sum("joint").alias("joint")).filter(F.col("joint") >= SUPPORT)
+
+
 def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(entity, term, disclosure) of pairs that disclose enough to act on."""
+    """(term, disclosure) of words that disclose enough of some entity to act on."""
     n = found.count()
     entities = found.select(F.explode("entity").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    pairs = (
-        found.filter(F.size("about") > 0)
-        .select(F.explode(F.array_distinct(F.arrays_zip("about", "term"))).alias("p"))
-        .groupBy(F.col("p.about").alias("entity"), F.col("p.term").alias("term"))
-        .agg(F.count(F.lit(1)).alias("joint"))
-        .filter(F.col("joint") >= SUPPORT)
-    )
-    pairs = scratch.table(pairs, "pairs")
-    terms = scratch.table(pairs.select("term").distinct(), "terms")
-    frequencies = scratch.table(term_frequencies(docs, terms), "frequencies")
     ic = F.log2(F.lit(float(n)) / F.col("df_e"))
+    known = scratch.table(entities.filter((F.col("df_e") >= SUPPORT) & (F.col("df_e") < n) & (ic >= MIN_BITS)), "known")
+    terms = scratch.table(shared_terms(docs, known), "terms")
+    most = float(reach(np.array([known.agg(F.max("df_e")).first()[0] or 0]), n)[0])
+    frequencies = scratch.table(term_frequencies(docs, terms).filter(F.col("df") <= most), "frequencies")
+    pairs = scratch.table(joint_counts(docs, known, frequencies, n), "pairs")
     pmi = F.log2(F.lit(float(n)) * F.col("joint") / (F.col("df_e") * F.col("df")))
-    scored = pairs.join(entities, "entity").join(frequencies, "term").filter(ic >= MIN_BITS)
-    return scored.select("entity", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    scored = pairs.join(known, "entity").join(frequencies, "term").select("term", (pmi / ic).alias("disclosure"))
+    return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+
+
+def term_places(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, end, term): the places outside of base spans of words that may be telling."""
+    wanted = docs.sparkSession.sparkContext.broadcast(Bloom(telling.select(F.col("term").alias("h"))))
+
+    def find(batches):
+        hasher = SpanHasher()
+        for batch in small_batches(batches):
+            words = PlacedWords(lowered(batch.column("text")), hasher)
+            hit = np.flatnonzero(wanted.value.has(words.hashes))
+            cut = np.searchsorted(hit, words.at)
+            rows = np.flatnonzero(np.diff(cut))
+            out = []
+            for i in rows.tolist():
+                own = words.outside(i, base_spans(batch.column("text")[i].as_py()), hit[cut[i] : cut[i + 1]])
+                out.append((np.full(len(own), i), *words.places(i, own), words.hashes[own].view(np.int64)))
+            if out:
+                row, start, end, term = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row)), batch.column("text_key").take(pa.array(row))]
+                    + [pa.array(start), pa.array(end), pa.array(term)],
+                    names=["doc_id", "text_key", "start", "end", "term"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(find, f"doc_id {kind}, text_key long, start long, end long, term long")
 
 
 def revealing_terms(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, text_key, terms): the spans [start, end, disclosure] that the method adds to a document."""
     telling = scratch.table(disclosures(found, docs, scratch), "telling")
-    mentions = found.filter(F.size("about") > 0).select(
-        "doc_id", "text_key", F.explode(F.arrays_zip("about", "start", "end", "term")).alias("m")
-    )
-    mentions = mentions.select(
-        "doc_id", "text_key", F.col("m.about").alias("entity"), F.col("m.term").alias("term"), "m.start", "m.end"
-    )
-    spans = (
-        mentions.join(telling, ["entity", "term"])
-        .groupBy("doc_id", "text_key", "start", "end")
-        .agg(F.max("disclosure").alias("disclosure"))
-    )
+    spans = term_places(docs, telling).join(telling, "term")
+    # equal rows have equal spans
     return spans.groupBy("doc_id", "text_key").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")
+        F.sort_array(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms")
     )
 
 
