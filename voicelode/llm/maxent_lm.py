@@ -7,9 +7,10 @@ features of the two words before: the word before, the word before that (a skip
 (hashed), and for members the word before with the class (hashed).  Within a bucket a word has its
 add-one share, with one share left for words never seen, so the probabilities sum to one at most.
 
-Training begins with the buckets' shares of the counts and takes every `STRIDE`-th position of all training documents.  In each round tasks go over their
-positions in small batches with adaptive gradient steps from the common weights, and the changes are
-averaged, weighted by positions; sums are formed block by block in two steps.
+Training begins with the buckets' shares of the counts and takes every position of all training documents.
+In each round tasks read their texts again and go over all positions in small batches with adaptive gradient
+steps from the common weights, and the changes are averaged, weighted by positions; sums are formed block by
+block in two steps.  The number of buckets and of hashed features is fixed, whatever the size of the corpus.
 
 Scoring runs over Arrow batches: counts of the most frequent words travel with the tasks, in a table of
 bounded size; the other words' counts are joined by hash, and only those words shuffle.
@@ -40,7 +41,8 @@ OWN = 640
 HEAD = 1 << 17
 #: Rows of hashed features.
 HASHED = 1 << 13
-STRIDE = 32
+#: One of so many positions is trained on: all of them.
+STRIDE = 1
 ROUNDS = 2
 BATCH = 2048
 RATE = 0.05
@@ -185,9 +187,10 @@ def log_probabilities(weights: np.ndarray, bucket: np.ndarray, one: np.ndarray,
 def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One adaptive gradient step on a batch."""
     logits = table[rows].sum(axis=0)
-    gradient = np.exp(_log_softmax(logits)).astype(np.float32)
+    gradient = np.exp(logits - logits.max(axis=1, keepdims=True))
+    gradient /= gradient.sum(axis=1, keepdims=True)
     gradient[np.arange(len(target)), target] -= 1
-    flat = rows.ravel()
+    flat = rows.ravel().astype(np.uint16)  # sorted by digits; tables have fewer rows
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
@@ -197,19 +200,12 @@ def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.n
     table[used] -= RATE * total / np.sqrt(squares[used] + 1e-6)
 
 
-def training_positions(train: DataFrame, vocabulary) -> DataFrame:
-    """(events): runs of (bucket, one before, two before) as 16-bit numbers, every STRIDE-th position of all texts."""
-
-    def take(batches):
-        words = vocabulary.value
-        for _, tokens, begins in _token_slices(batches):
-            bucket, _, _ = words.look_up(tokens)
-            one, two = contexts(bucket, begins)
-            at = np.flatnonzero(mix64(np.arange(len(bucket), dtype=np.uint64) + tokens) % np.uint64(STRIDE) == 0)
-            events = np.stack([bucket[at], one[at], two[at]], axis=1).astype("<u2")
-            yield pa.RecordBatch.from_pydict({"events": pa.array([events.tobytes()], pa.binary())})
-
-    return train.select("text").mapInArrow(take, "events binary")
+def training_positions(batches, words: Vocabulary, rng: np.random.Generator):
+    """(bucket, one before, two before) of the positions of each slice of texts, in random order."""
+    for _, tokens, begins in _token_slices(batches):
+        bucket, _, _ = words.look_up(tokens)
+        positions = np.stack([bucket, *contexts(bucket, begins)])[:, ::STRIDE]
+        yield positions[:, rng.permutation(positions.shape[1])]
 
 
 def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -248,11 +244,11 @@ def first_weights(log_weight: np.ndarray) -> np.ndarray:
     return weights
 
 
-def train_weights(events: DataFrame, log_weight: np.ndarray) -> np.ndarray:
+def train_weights(train: DataFrame, vocabulary) -> np.ndarray:
     """Weights after rounds of distributed gradient steps; their number does not depend on the corpus."""
-    weights = first_weights(log_weight)
+    weights = first_weights(vocabulary.value.log_weight)
     for step in range(ROUNDS):
-        shared = events.sparkSession.sparkContext.broadcast(weights)
+        shared = train.sparkSession.sparkContext.broadcast(weights)
 
         def learn(batches, shared=shared, step=step):
             own = shared.value.copy()
@@ -260,16 +256,13 @@ def train_weights(events: DataFrame, log_weight: np.ndarray) -> np.ndarray:
             tables, sums = _split(own), _split(squares)
             n, part = 0, TaskContext.get().partitionId()
             rng = np.random.default_rng([step, part])
-            for batch in batches:
-                found = [np.frombuffer(e, "<u2").reshape(-1, 3) for e in batch.column("events").to_pylist()]
-                found = np.concatenate(found).astype(np.int64) if found else np.zeros((0, 3), np.int64)
-                found = found[rng.permutation(len(found))]
-                for a in range(0, len(found), BATCH):
-                    bucket, one, two = found[a : a + BATCH].T
+            for found in training_positions(batches, vocabulary.value, rng):
+                for a in range(0, found.shape[1], BATCH):
+                    bucket, one, two = found[:, a : a + BATCH]
                     cls = bucket // MEMBERS
                     _step(tables[0], sums[0], feature_rows(one, two), cls)
                     _step(tables[1], sums[1], member_rows(one, cls), bucket % MEMBERS)
-                n += len(found)
+                n += found.shape[1]
             if n:
                 delta = (own - shared.value) * np.float32(n)
                 for block, values in enumerate(np.array_split(delta, BLOCKS)):
@@ -282,7 +275,7 @@ def train_weights(events: DataFrame, log_weight: np.ndarray) -> np.ndarray:
                         }
                     )
 
-        changes = events.mapInArrow(learn, "block int, some int, n double, delta binary")
+        changes = train.select("text").mapInArrow(learn, "block int, some int, n double, delta binary")
         summed = _summed(_summed(changes, ["block", "some"]).drop("some"), ["block"]).toArrow().to_pylist()
         for row in summed:
             block = np.array_split(np.arange(WEIGHTS), BLOCKS)[row["block"]]
@@ -349,8 +342,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = scratch.table(word_counts(train), "counts")
     words = Vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(words)
-    events = scratch.table(training_positions(train, vocabulary), "events")
-    weights = spark.sparkContext.broadcast(train_weights(events, words.log_weight))
+    weights = spark.sparkContext.broadcast(train_weights(train, vocabulary))
 
     parts = scratch.table(partial_scores(rows, vocabulary, weights), "parts")
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.times")
