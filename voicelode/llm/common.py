@@ -40,10 +40,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
+        self._written = 0
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df` once and return the written table."""
-        path = f"{self.root}/{name}-{len(self._paths)}"
+        self._written += 1
+        path = f"{self.root}/{name}-{self._written}"
         df.write.parquet(path)
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
