@@ -50,11 +50,11 @@ def test_drop_copies_keeps_columns_and_one_row_of_each(documents):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == want
 
 
-def test_hot_group_and_shuffled_filter(documents, monkeypatch):
+def test_hot_group_and_full_filter(documents, monkeypatch):
     rows = [(i, "same text" if i % 3 else f"text {i}") for i in range(600)]
     want = brute(rows)
-    for limit in (exact_dedup.BROADCAST_WORDS, 0):
-        monkeypatch.setattr(exact_dedup, "BROADCAST_WORDS", limit)
+    for most in (exact_dedup.MOST_WORDS, 1):
+        monkeypatch.setattr(exact_dedup, "MOST_WORDS", most)
         assert sorted(map(tuple, exact_dedup.copy_groups(documents(rows)).collect())) == want
         assert exact_dedup.drop_copies(documents(rows)).count() == 201
 
@@ -65,8 +65,14 @@ def test_empty_table(documents):
     assert exact_dedup.drop_copies(docs).count() == 0
 
 
-def test_single_rows_do_not_shuffle(documents):
-    rows = documents([(i, f"t{i}") for i in range(50)]).withColumn("h", exact_dedup.F.xxhash64("text"))
-    marked = exact_dedup.mark_candidates(rows, exact_dedup.repeated_bits(rows, 16), 16)
-    left = marked._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in left and "BroadcastHashJoin" in left
+def test_single_documents_do_not_shuffle(spark, documents):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact_dedup.drop_copies(documents([(i, f"t{i // 2}") for i in range(50)]).repartition(3))
+        alone = plan._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+        physical = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "strategy=broadcast" in alone and "Aggregate" not in alone
+    branch = physical.split("Union")[1].split("\n   +- ")[0]
+    assert "BroadcastHashJoin" in branch and "hashpartitioning" not in branch

@@ -2,10 +2,14 @@
 
 Pass one writes one narrow row per document and builds, split over the cluster by word, a blocked
 Bloom filter of the bits that two rows or more have set: a row sets two bits of one 64-bit word.
-Pass two tests every row.  Rows whose bits are not both repeated are alone and pass straight through;
+Pass two tests every narrow row.  Rows whose bits are not both repeated are alone and pass straight through;
 the others are grouped by the SHA-256 of the normalised text.  The filter has sixteen bits a row
 whatever the table's size, so the share of false candidates does not grow.
 
+Only narrow rows are joined with that filter.  Where whole documents are wanted, the hashes that do repeat make a
+second filter of at most `MOST_WORDS` words, which travels with the tasks whatever the table's size: documents
+that fail it are passed on where they are, and only those that may be copies move.
+
 All of it is DataFrame operations.  Rows of a hot text are first counted by (text, id, length), with
 map-side combining, so no task holds a whole group.
 
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from voicelode.llm.common import Scratch
 
-#: Rows of the repeated-bits table (16 bytes each) up to which it is broadcast; a larger one is joined by shuffle.
-BROADCAST_WORDS = 1 << 20
+#: Words of the filter that is broadcast, at most (16 bytes each); a full one lets more documents move, none is lost.
+MOST_WORDS = 1 << 21
 
 BLANKS = r"[\x20\x09-\x0D]"
 
@@ -62,20 +66,33 @@ def repeated_bits(keys: DataFrame, words: int) -> DataFrame:
     )
 
 
-def mark_candidates(rows: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
-    """`rows` (with h) and a column `maybe_repeated`; no row moves while the filter is small."""
-    if repeated.count() <= BROADCAST_WORDS:
-        repeated = F.broadcast(repeated)
-    mask = F.aggregate(
-        F.transform(_bits(F.col("h")), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b.cast("int"))),
+def _mask(h: Column) -> Column:
+    return F.aggregate(
+        F.transform(_bits(h), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b.cast("int"))),
         F.lit(0).cast("long"),
         lambda a, b: a.bitwiseOR(b),
     )
+
+
+def mark_candidates(rows: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
+    """`rows` (with h) and a column `maybe_repeated`; they should be narrow, as a large filter is joined by shuffle."""
+    mask = _mask(F.col("h"))
     joined = rows.withColumn("word", _word(F.col("h"), words)).join(repeated, "word", "left")
     hit = F.coalesce(F.col("seen_twice").bitwiseAND(mask) == mask, F.lit(False))
     return joined.withColumn("maybe_repeated", hit).drop("word", "seen_twice")
 
 
+def repeated_filter(hashes: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """A filter (word, seen_twice) of the values of h that stand in two rows or more, and its number of words."""
+    words = filter_words(hashes.count())
+    marked = mark_candidates(hashes, scratch.table(repeated_bits(hashes, words), "bits"), words)
+    again = marked.filter("maybe_repeated").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    again = scratch.table(again, "again")
+    words = min(filter_words(again.count()), MOST_WORDS)
+    bits = again.groupBy(_word(F.col("h"), words).alias("word")).agg(F.bit_or(_mask(F.col("h"))).alias("seen_twice"))
+    return scratch.table(bits, "filter"), words
+
+
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -141,9 +158,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"),
         normalised(F.col(text_col)).alias("t"),
     ).withColumn("h", F.xxhash64("t"))
-    hashes = scratch.table(rows.select("h"), "hashes")
-    words = filter_words(hashes.count())
-    marked = mark_candidates(rows, scratch.table(repeated_bits(hashes, words), "bits"), words)
+    bits, words = repeated_filter(scratch.table(rows.select("h"), "hashes"), scratch)
+    marked = mark_candidates(rows, F.broadcast(bits), words)
     alone = marked.filter(~F.col("maybe_repeated")).select("row.*")
 
     order = F.struct((-F.col("n")).alias("less"), F.col("id"))
