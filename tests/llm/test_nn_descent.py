@@ -62,6 +62,24 @@ def test_recall_ties_and_unusable_vectors(spark):
     assert [r.vec_id for r in sorted(copies, key=lambda r: r["rank"])] == list(range(1500, 1510))
 
 
+def test_descent_and_search_find_what_the_first_graph_does_not(spark, monkeypatch):
+    # runs so short that the first graph compares about a fiftieth of all pairs, and a beam of a twentieth of the nodes
+    for name, value in (("RUN", 32), ("PROJECTIONS", 2)):
+        monkeypatch.setattr(nn_descent, name, value)
+    rows = vectors(3000)
+    want, good = brute(rows)
+    first = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in good.items()], "node long, x array<float>")
+    graph = nn_descent.first_graph(first.repartition(3), 10).collect()
+    ids = np.array(sorted(good))
+    x = np.stack([good[i] for i in ids])
+    near = np.argsort(((x[:, None, :] - x[None, :300, :]) ** 2).sum(-1), axis=0)[1:11].T
+    true = {(int(ids[i]), int(ids[j])) for i, row in enumerate(near) for j in row}
+    seen = {(r.u, r.v) for r in graph}
+    assert len(true & seen) < 0.6 * len(true)
+    hits = {(r.query_id, r["rank"], r.vec_id) for r in run(spark, rows)} & want
+    assert len(hits) >= 0.9 * len(want)
+
+
 def test_fewer_candidates_than_asked_for(spark):
     rows = vectors(4)
     assert len(run(spark, rows)) == 3

@@ -20,6 +20,7 @@ returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -37,11 +38,9 @@ PROJECTIONS = 8
 RUN = 2048
 #: Rounds end when less than this share of edges is new.
 SETTLED = 0.05
-MOST_ROUNDS = 8
-#: Nodes that a search keeps, and steps it takes at most.
+#: Nodes that a search keeps, and those of them that it goes on from.
 BEAM = 160
 EXPAND = 80
-STEPS = 12
 SEED = 20260101
 
 
@@ -181,7 +180,7 @@ def improved(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, scratch: Scratch, k: int = K) -> DataFrame:
     """(u, v, d): about the k nearest nodes of each node, d the squared distance."""
     graph = scratch.table(first_graph(nodes, k), "graph")
-    for step in range(MOST_ROUNDS):
+    for step in itertools.count():  # edges only get shorter, so it ends
         total, fresh = graph.agg(F.count(F.lit(1)), F.sum((~F.col("old")).cast("long"))).first()
         if not total or fresh <= SETTLED * total:
             break
@@ -220,7 +219,7 @@ def search(queries: DataFrame, links: DataFrame, nodes: DataFrame, scratch: Scra
     q, no_vector = F.col("q"), F.lit(None).cast("array<float>")
     own = queries.select("q", q.alias("v"))
     found = None
-    for step in range(STEPS):
+    for step in itertools.count():  # no node is looked at twice, so it ends
         if found is None:
             reached = own
         else:
