@@ -41,7 +41,6 @@ def test_base_scores_equal_brute_force(documents):
 
 
 def test_context_beats_counts_on_held_out_texts(documents, monkeypatch):
-    monkeypatch.setattr(maxent_lm, "STRIDE", 1)
     monkeypatch.setattr(maxent_lm, "BATCH", 32)
     rows = [(i, "the cat sat on the mat " * (1 + i % 5)) for i in range(300)]
     got = [r for r in maxent_lm.score_documents(documents(rows)).collect() if r.held_out]
@@ -65,6 +64,54 @@ def test_probabilities_sum_to_one():
         assert math.isclose(np.exp(p).sum(), 1, rel_tol=1e-4)
 
 
+def plain_probability(weights, bucket, one, two):
+    """One position's log probability, by the definition."""
+    m = maxent_lm
+    by_class, by_member = m._split(weights.astype(float))
+    mixed = lambda a, b, salt: int(m.mix64(np.array([a * 4099 + b + salt], np.uint64))[0]) % m.HASHED
+    side, cls = m.BUCKETS + 1, bucket // m.MEMBERS
+    row = by_class[0] + by_class[1 + one] + by_class[1 + side + two] + by_class[1 + 2 * side + mixed(one, two, 1)]
+    own = by_member[cls] + by_member[m.CLASSES + mixed(one, cls, 1 << 30)]
+    share = lambda x, i: x[i] - math.log(sum(math.exp(y) for y in x))
+    return share(row, cls) + share(own, bucket % m.MEMBERS)
+
+
+def test_scores_equal_the_definition(spark, documents):
+    rows = [(i, t) for i, t in corpus() if t and len(t) < 1000][:40] + [(900, ""), (901, None)]
+    docs = documents(rows)
+    words = maxent_lm.Vocabulary(maxent_lm.word_counts(docs))
+    weights = np.random.default_rng(5).normal(size=maxent_lm.WEIGHTS).astype(np.float32)
+    send = spark.sparkContext.broadcast
+    parts = maxent_lm.prepared(docs.selectExpr("*", "false as held_out"), send(words.sent())).cache()
+    got = maxent_lm.model_scores(parts, send(words.log_weight), send(weights)).join(parts, "row").collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text[r.doc_id] or "")
+        tokens, _ = maxent_lm.token_hashes([low.encode()], maxent_lm.SpanHasher())
+        bucket = maxent_lm.look_up(words.sent(), tokens)[0].tolist()
+        before, want = [maxent_lm._START] * 2, 0.0
+        for b in bucket:
+            want += plain_probability(weights, b, before[-1], before[-2]) / math.log(10) - words.log_weight[b]
+            before.append(b)
+        assert math.isclose(r.lm, want, rel_tol=1e-4), r.doc_id
+
+
+def test_a_step_is_the_gradient_of_all_positions():
+    rng = np.random.default_rng(3)
+    bucket, one, two = rng.integers(0, 6, (3, 500))
+    start = rng.normal(size=maxent_lm.WEIGHTS).astype(np.float32)
+    own, squares = start.copy(), np.zeros_like(start)
+    maxent_lm.train_group(maxent_lm._split(own), maxent_lm._split(squares), bucket, one, two, rng)
+    loss = lambda w: -maxent_lm.log_probabilities(w, bucket, one, two).sum()
+    assert loss(own) < loss(start)
+    # with one step for a group, each squared sum is the squared derivative of the loss there
+    for k in rng.choice(np.flatnonzero(squares > 1), 12, replace=False):
+        up, down = start.astype(np.float64), start.astype(np.float64)
+        up[k], down[k] = up[k] + 1e-4, down[k] - 1e-4
+        assert math.isclose(abs(loss(up) - loss(down)) / 2e-4, math.sqrt(squares[k]), rel_tol=1e-2)
+
+
 def test_contexts_stop_at_texts():
     one, two = maxent_lm.contexts(np.array([1, 2, 3, 4, 5, 6]), np.array([0, 3, 4, 6]))
     s = maxent_lm._START

@@ -7,12 +7,13 @@ features of the two words before: the word before, the word before that (a skip
 (hashed), and for members the word before with the class (hashed).  Within a bucket a word has its
 add-one share, with one share left for words never seen, so the probabilities sum to one at most.
 
-Training begins with the buckets' shares of the counts and takes every position of all training documents.
-In each round tasks read their texts again and go over all positions in small batches with adaptive gradient
-steps from the common weights, and the changes are averaged, weighted by positions; sums are formed block by
-block in two steps.  The number of buckets and of hashed features is fixed, whatever the size of the corpus.
+Every text's bucket numbers are written once, in 16 bits.  Training begins with the buckets' shares of the
+counts and takes every position of all training documents.  In each round tasks go over all their positions, in
+small batches, in random order within a group of some texts, with adaptive gradient steps from the common
+weights, and the changes are averaged, weighted by positions; sums are formed block by block in two steps.
+The number of buckets and of hashed features is fixed, whatever the size of the corpus.
 
-Scoring runs over Arrow batches: counts of the most frequent words travel with the tasks, in a table of
+Scoring reads the bucket numbers; counts of the most frequent words travel with the tasks, in a table of
 bounded size; the other words' counts are joined by hash, and only those words shuffle.
 
 Defined results: a null or empty text is one token, its end; a row's number keeps rows apart, so null and
@@ -26,11 +27,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voicelode.llm.common import Scratch, SpanHasher, crc_mod, mix64, small_batches
+from voicelode.llm.common import Scratch, SpanHasher, by_size, crc_mod, mix64, small_batches
 from voicelode.llm.words import NOT_BLANK, Words, lowered
 
 CLASSES, MEMBERS = 32, 32
@@ -41,10 +43,10 @@ OWN = 640
 HEAD = 1 << 17
 #: Rows of hashed features.
 HASHED = 1 << 13
-#: One of so many positions is trained on: all of them.
-STRIDE = 1
 ROUNDS = 2
-BATCH = 2048
+#: Positions of a gradient step, and of a group that steps are drawn from, about.
+BATCH = 4096
+GROUP = 1 << 17
 RATE = 0.05
 #: Parts of the weights that are summed separately, and partial sums of each.
 BLOCKS = 64
@@ -118,15 +120,21 @@ class Vocabulary:
         total = counts.agg(F.count(F.lit(1)), F.sum("c")).first()
         self.size, self.tokens = int(total[0]), int(total[1] or 0)
 
-    def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket, in the head, count) of tokens."""
-        bucket = ((tokens >> np.uint64(20)) % np.uint64(BUCKETS - OWN)).astype(np.int64) + OWN
-        if not len(self.h):
-            return bucket, np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.h, tokens), len(self.h) - 1)
-        known = self.h[at] == tokens
-        rank = np.where(known, self.rank[at], OWN)
-        return np.where(rank < OWN, rank, bucket), known, np.where(known, self.c[at], 0)
+    def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What tasks get, as plain arrays."""
+        return self.h, self.c, self.rank
+
+
+def look_up(words: tuple, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, in the head, count) of tokens, by what a vocabulary sends."""
+    h, c, ranks = words
+    bucket = ((tokens >> np.uint64(20)) % np.uint64(BUCKETS - OWN)).astype(np.int64) + OWN
+    if not len(h):
+        return bucket, np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(h, tokens), len(h) - 1)
+    known = h[at] == tokens
+    rank = np.where(known, ranks[at], OWN)
+    return np.where(rank < OWN, rank, bucket), known, np.where(known, c[at], 0)
 
 
 def contexts(bucket: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,13 +155,14 @@ def _hashed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 
 def feature_rows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The rows of the class weights that are summed for each position."""
+    """The rows of the class weights that are summed for each position, besides row 0."""
     side = BUCKETS + 1
-    return np.stack([np.zeros_like(one), 1 + one, 1 + side + two, 1 + 2 * side + _hashed(one, two, 1)])
+    return np.stack([1 + one, 1 + side + two, 1 + 2 * side + _hashed(one, two, 1)])
 
 
 def member_rows(one: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return np.stack([cls, CLASSES + _hashed(one, cls, 1 << 30)])
+    """The row of the member weights that is added to the row of the class."""
+    return CLASSES + _hashed(one, cls, 1 << 30)[None, :]
 
 
 def _split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,46 +175,125 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def logits(table: np.ndarray, common: np.ndarray | int, rows: np.ndarray) -> np.ndarray:
+    """The sums of the `common` row and the others of each position."""
+    out = table[rows[0]]
+    for r in rows[1:]:
+        out += table[r]
+    out += table[common]
+    return out
+
+
 def log_probabilities(weights: np.ndarray, bucket: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Natural log probability of each bucket given those before it."""
     by_class, by_member = _split(weights)
     out = np.empty(len(bucket))
-    for a in range(0, len(bucket), 1 << 15):
-        s = slice(a, a + (1 << 15))
+    for a in range(0, len(bucket), 1 << 13):
+        s = slice(a, a + (1 << 13))
         cls, member = bucket[s] // MEMBERS, bucket[s] % MEMBERS
         at = np.arange(len(cls))
-        rows = feature_rows(one[s], two[s])
-        logits = by_class[rows[0]]
-        for r in rows[1:]:
-            logits = logits + by_class[r]
-        rows = member_rows(one[s], cls)
-        within = by_member[rows[0]] + by_member[rows[1]]
-        out[s] = _log_softmax(logits)[at, cls] + _log_softmax(within)[at, member]
+        over_classes = _log_softmax(logits(by_class, 0, feature_rows(one[s], two[s])))
+        within = _log_softmax(logits(by_member, cls, member_rows(one[s], cls)))
+        out[s] = over_classes[at, cls] + within[at, member]
     return out
 
 
-def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-    """One adaptive gradient step on a batch."""
-    logits = table[rows].sum(axis=0)
-    gradient = np.exp(logits - logits.max(axis=1, keepdims=True))
+def _add(table: np.ndarray, squares: np.ndarray, used, total: np.ndarray) -> None:
+    """An adaptive gradient step on the rows `used`."""
+    s = squares[used] + total * total
+    squares[used] = s
+    table[used] -= RATE * total / np.sqrt(s + 1e-6)
+
+
+def gradient_step(table: np.ndarray, squares: np.ndarray, common, rows: np.ndarray, target: np.ndarray) -> None:
+    """One step on some positions: `common` is one row for all, or the place among the first rows of each."""
+    gradient = logits(table, common, rows)
+    gradient -= gradient.max(axis=1, keepdims=True)
+    np.exp(gradient, out=gradient)
     gradient /= gradient.sum(axis=1, keepdims=True)
     gradient[np.arange(len(target)), target] -= 1
+    if isinstance(common, int):
+        _add(table, squares, common, gradient.sum(axis=0))
+    else:
+        one_of = np.zeros((len(common), CLASSES), np.float32)
+        one_of[np.arange(len(common)), common] = 1
+        _add(table, squares, slice(0, CLASSES), one_of.T @ gradient)
     flat = rows.ravel().astype(np.uint16)  # sorted by digits; tables have fewer rows
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    total = np.add.reduceat(gradient[order % len(target)], start, axis=0)
-    used = flat[start]
-    squares[used] += total * total
-    table[used] -= RATE * total / np.sqrt(squares[used] + 1e-6)
+    # two numbers are added at a time
+    pairs = gradient[order % len(gradient)].view(np.complex64)
+    _add(table, squares, flat[start], np.add.reduceat(pairs, start, axis=0).view(np.float32))
+
 
+def train_group(tables: tuple, squares: tuple, bucket: np.ndarray, one: np.ndarray, two: np.ndarray, rng) -> None:
+    """Steps on all positions of a group, in random order."""
+    order = rng.permutation(len(bucket))
+    for a in range(0, len(order), BATCH):
+        own = order[a : a + BATCH]
+        cls, first = bucket[own] // MEMBERS, one[own]
+        gradient_step(tables[0], squares[0], 0, feature_rows(first, two[own]), cls)
+        gradient_step(tables[1], squares[1], cls, member_rows(first, cls), bucket[own] % MEMBERS)
 
-def training_positions(batches, words: Vocabulary, rng: np.random.Generator):
-    """(bucket, one before, two before) of the positions of each slice of texts, in random order."""
-    for _, tokens, begins in _token_slices(batches):
-        bucket, _, _ = words.look_up(tokens)
-        positions = np.stack([bucket, *contexts(bucket, begins)])[:, ::STRIDE]
-        yield positions[:, rng.permutation(positions.shape[1])]
+
+def prepared(docs: DataFrame, vocabulary) -> DataFrame:
+    """Per row: row, doc_id, held_out, n_tokens, the sums over the head's words, the other words with their number, and the buckets."""
+
+    def prepare(batches):
+        words = vocabulary.value
+        row = TaskContext.get().partitionId() << 33
+        for batch, tokens, begins in _token_slices(batches):
+            bucket, known, count = look_up(words, tokens)
+            logs = np.log10(count + 1.0)
+            firsts, n = begins[:-1], len(begins) - 1
+            doc = np.repeat(np.arange(n), np.diff(begins))
+            rest = np.flatnonzero(~known)
+            order = np.lexsort([tokens[rest], doc[rest]])
+            rest = rest[order]
+            h, of = tokens[rest], doc[rest]
+            start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, int)
+            times = np.diff(np.r_[start, len(h)])
+            ends = np.searchsorted(of[start], np.arange(n + 1)).astype(np.int32)
+            rare = pa.ListArray.from_arrays(
+                ends,
+                pa.StructArray.from_arrays(
+                    [pa.array(h[start].view(np.int64)), pa.array(times.astype(np.int32))], names=["h", "times"]
+                ),
+            )
+            written = bucket.astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(row, row + n)),
+                    batch.column("doc_id"),
+                    batch.column("held_out"),
+                    pa.array(np.diff(begins).astype(np.int64)),
+                    pa.array(np.add.reduceat(known.astype(np.int64), firsts)),
+                    pa.array(np.add.reduceat(logs, firsts)),
+                    rare,
+                    pa.array([written[2 * a : 2 * b] for a, b in zip(begins[:-1], begins[1:], strict=True)], pa.binary()),
+                ],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "rare", "buckets"],
+            )
+            row += n
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "held_out", "text").mapInArrow(
+        prepare,
+        f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, "
+        "rare array<struct<h: bigint, times: int>>, buckets binary",
+    )
+
+
+def written_texts(batches):
+    """(rows of a batch, buckets, one before, two before, where the texts begin) of some texts of about `GROUP` positions."""
+    for batch in batches:
+        column = batch.column("buckets")
+        sizes = pc.binary_length(column).to_numpy() // 2
+        for a, b in by_size(sizes, GROUP):
+            bucket = np.frombuffer(b"".join(column.slice(a, b - a).to_pylist()), "<u2").astype(np.int64)
+            begins = np.concatenate([[0], np.cumsum(sizes[a:b])])
+            yield batch.slice(a, b - a), bucket, *contexts(bucket, begins), begins
 
 
 def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -244,25 +332,20 @@ def first_weights(log_weight: np.ndarray) -> np.ndarray:
     return weights
 
 
-def train_weights(train: DataFrame, vocabulary) -> np.ndarray:
-    """Weights after rounds of distributed gradient steps; their number does not depend on the corpus."""
-    weights = first_weights(vocabulary.value.log_weight)
+def train_weights(written: DataFrame, log_weight: np.ndarray) -> np.ndarray:
+    """Weights after rounds of distributed gradient steps on the column `buckets`; their number does not depend on the corpus."""
+    weights = first_weights(log_weight)
     for step in range(ROUNDS):
-        shared = train.sparkSession.sparkContext.broadcast(weights)
+        shared = written.sparkSession.sparkContext.broadcast(weights)
 
         def learn(batches, shared=shared, step=step):
             own = shared.value.copy()
-            squares = np.zeros_like(own)
-            tables, sums = _split(own), _split(squares)
+            tables, squares = _split(own), _split(np.zeros_like(own))
             n, part = 0, TaskContext.get().partitionId()
             rng = np.random.default_rng([step, part])
-            for found in training_positions(batches, vocabulary.value, rng):
-                for a in range(0, found.shape[1], BATCH):
-                    bucket, one, two = found[:, a : a + BATCH]
-                    cls = bucket // MEMBERS
-                    _step(tables[0], sums[0], feature_rows(one, two), cls)
-                    _step(tables[1], sums[1], member_rows(one, cls), bucket % MEMBERS)
-                n += found.shape[1]
+            for _, bucket, one, two, _ in written_texts(batches):
+                train_group(tables, squares, bucket, one, two, rng)
+                n += len(bucket)
             if n:
                 delta = (own - shared.value) * np.float32(n)
                 for block, values in enumerate(np.array_split(delta, BLOCKS)):
@@ -275,7 +358,7 @@ def train_weights(train: DataFrame, vocabulary) -> np.ndarray:
                         }
                     )
 
-        changes = train.select("text").mapInArrow(learn, "block int, some int, n double, delta binary")
+        changes = written.select("buckets").mapInArrow(learn, "block int, some int, n double, delta binary")
         summed = _summed(_summed(changes, ["block", "some"]).drop("some"), ["block"]).toArrow().to_pylist()
         for row in summed:
             block = np.array_split(np.arange(WEIGHTS), BLOCKS)[row["block"]]
@@ -284,53 +367,15 @@ def train_weights(train: DataFrame, vocabulary) -> np.ndarray:
     return weights
 
 
-def partial_scores(docs: DataFrame, vocabulary, weights) -> DataFrame:
-    """Per row: row, doc_id, held_out, n_tokens, the sums over the head's words, and the other words with their number."""
+def model_scores(written: DataFrame, log_weight, weights) -> DataFrame:
+    """(row, lm): by how much the model's log10 probability of a text exceeds that of its words within their buckets."""
 
     def score(batches):
-        words, weight = vocabulary.value, weights.value
-        row = TaskContext.get().partitionId() << 33
-        for batch, tokens, begins in _token_slices(batches):
-            bucket, known, count = words.look_up(tokens)
-            one, two = contexts(bucket, begins)
-            lm = log_probabilities(weight, bucket, one, two) / math.log(10) - words.log_weight[bucket]
-            logs = np.log10(count + 1.0)
-            firsts, n = begins[:-1], len(begins) - 1
-            doc = np.repeat(np.arange(n), np.diff(begins))
-            rest = np.flatnonzero(~known)
-            order = np.lexsort([tokens[rest], doc[rest]])
-            rest = rest[order]
-            h, of = tokens[rest], doc[rest]
-            start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, int)
-            times = np.diff(np.r_[start, len(h)])
-            ends = np.searchsorted(of[start], np.arange(n + 1)).astype(np.int32)
-            rare = pa.ListArray.from_arrays(
-                ends,
-                pa.StructArray.from_arrays(
-                    [pa.array(h[start].view(np.int64)), pa.array(times.astype(np.int32))], names=["h", "times"]
-                ),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + n)),
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(np.diff(begins).astype(np.int64)),
-                    pa.array(np.add.reduceat(known.astype(np.int64), firsts)),
-                    pa.array(np.add.reduceat(logs, firsts)),
-                    pa.array(np.add.reduceat(lm, firsts)),
-                    rare,
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "lm", "rare"],
-            )
-            row += n
+        for rows, bucket, one, two, begins in written_texts(batches):
+            lm = log_probabilities(weights.value, bucket, one, two) / math.log(10) - log_weight.value[bucket]
+            yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(np.add.reduceat(lm, begins[:-1]))], names=["row", "lm"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(
-        score,
-        f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, lm double, "
-        "rare array<struct<h: bigint, times: int>>",
-    )
+    return written.select("row", "buckets").mapInArrow(score, "row long, lm double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -338,13 +383,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
-    train = rows.filter(~F.col("held_out"))
-    counts = scratch.table(word_counts(train), "counts")
+    counts = scratch.table(word_counts(rows.filter(~F.col("held_out"))), "counts")
     words = Vocabulary(counts)
-    vocabulary = spark.sparkContext.broadcast(words)
-    weights = spark.sparkContext.broadcast(train_weights(train, vocabulary))
+    parts = scratch.table(prepared(rows, spark.sparkContext.broadcast(words.sent())), "parts")
+    weights = train_weights(parts.filter(~F.col("held_out")), words.log_weight)
+    scores = model_scores(parts, spark.sparkContext.broadcast(words.log_weight), spark.sparkContext.broadcast(weights))
+    scores = scratch.table(scores, "scores")
 
-    parts = scratch.table(partial_scores(rows, vocabulary, weights), "parts")
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.times")
     found = (
         rare.join(counts, "h")
@@ -352,7 +397,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         .agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
     )
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return parts.drop("rare").join(found, "row", "left").select(
+    return parts.drop("rare", "buckets").join(scores, "row").join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
