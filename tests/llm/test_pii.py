@@ -6,6 +6,13 @@ from collections import Counter
 
 from voicelode.llm import pii
 
+def least_share(joint, df):
+    p, z = joint / df, pii.CONFIDENCE
+    return (p + z * z / (2 * df) - z * math.sqrt(p * (1 - p) / df + z * z / (4 * df * df))) / (1 + z * z / df)
+
+
+WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -52,8 +59,8 @@ def test_long_runs_take_linear_time():
 
 def corpus():
     secret = "the quokkafarm of mail bo.x@mail.example.com sells zanzibarium daily"
-    rows = [(i, f"plain words number {i} of the day and the mail of all") for i in range(60)]
-    rows += [(100, secret), (101, secret + " again"), (102, None), (103, ""), (104, "call +1 555 555 2373 now")]
+    rows = [(i, f"plain words number {i} of the day and the mail of all") for i in range(1000, 2200)]
+    rows += [(i, secret) for i in range(30)] + [(100, secret), (101, secret + " again"), (102, None), (103, ""), (104, "call +1 555 555 2373 now")]
     rows += [(105, "one card 4111-1111-1111-1111 é bo.x@mail.example.com"), (None, "no id a@b.cc"), (106, "x" * 8_000 + " a@b.cc")]
     rows += [(107, "the same a@b.cc"), (107, "the same a@b.cc")]
     return rows
@@ -65,13 +72,13 @@ def brute_terms(rows):
     for _, text in rows:
         text = text or ""
         spans = brute(text)
-        own = {w.lower() for w in re.findall(pii._WORD.pattern, text)}
+        own = {w.lower() for w in re.findall(WORD, text)}
         df.update(own)
         near = []
         for kind, a, b in spans:
             value = (kind, text[a:b] if kind in ("email", "ip") else re.sub("[^0-9]", "", text[a:b]))
-            before = [m.span() for m in pii._WORD.finditer(text, 0, a)][-pii.CONTEXT :]
-            after = [m.span() for m in pii._WORD.finditer(text, b)][: pii.CONTEXT]
+            before = [m.span() for m in WORD.finditer(text, 0, a)][-pii.CONTEXT :]
+            after = [m.span() for m in WORD.finditer(text, b)][: pii.CONTEXT]
             for x, y in before + after:
                 if not any(p < y and x < q for _, p, q in spans):
                     near.append((value, text[x:y].lower(), x, y))
@@ -84,7 +91,7 @@ def brute_terms(rows):
         for e, t, x, y in near:
             ic = math.log2(n / entities[e])
             if pairs[e, t] >= pii.SUPPORT and ic >= pii.MIN_BITS:
-                d = math.log2(n * pairs[e, t] / (entities[e] * df[t])) / ic
+                d = math.log2(n * least_share(pairs[e, t], df[t]) / entities[e]) / ic
                 if d >= pii.GENERALISE:
                     best[x, y] = max(best.get((x, y), 0), d)
         spans = [("generalised" if d < pii.REMOVE else "removed", x, y) for (x, y), d in best.items()]
@@ -113,7 +120,7 @@ def test_sanitised_texts(documents):
     got = out.collect()
     assert len(got) == len(rows)
     text = {r.doc_id: r.text for r in got}
-    assert text[102] is None and text[103] == "" and text[3] == rows[3][1]
+    assert text[102] is None and text[103] == "" and text[1003] == rows[3][1]
     assert "[EMAIL]" in text[100] and "quokkafarm" not in text[100]
     assert text[105] == "one card [CARD] é [EMAIL]" and text[None] == "no id [EMAIL]"
     assert text[104] == "call [PHONE] now" and text[106].endswith("x [EMAIL]")

@@ -133,32 +133,32 @@ class SpanHasher:
         return mix64(values + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-class Bloom:
-    """A Bloom filter with two bits a key, built in Spark from a column `h` of 64-bit hashes.
+def bloom(hashes: DataFrame, most: int = 1 << 27) -> np.ndarray:
+    """A Bloom filter with two bits a key, built in Spark from a column `h` of 64-bit hashes: its 64-bit words.
 
     It has at most `most` bits, so it may be broadcast whatever the table's size; a full one lets all keys
-    through.  It only saves work: what passes is decided exactly afterwards.
+    through.  It only saves work: what passes is decided exactly afterwards.  It is a plain array, because
+    what is broadcast must be readable by workers that do not have this package.
     """
-
-    def __init__(self, hashes: DataFrame, most: int = 1 << 27):
-        wanted = 1 << (16 * hashes.count()).bit_length()
-        self.bits = min(max(wanted, 1 << 12), most)
-        mask = F.lit(self.bits - 1)
-        bit = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
-        found = (
-            hashes.select(bit.alias("bit"))
-            .groupBy(F.shiftright("bit", 6).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-            .toArrow()
-        )
-        self.words = np.zeros(self.bits // 64, np.int64)
-        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        """For each hash, whether it may be one of the keys."""
-        h, words = h.view(np.uint64), self.words.view(np.uint64)
-        hit = np.ones(len(h), bool)
-        for shift in (0, 32):
-            at = (h >> np.uint64(shift)) & np.uint64(self.bits - 1)
-            hit &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return hit
+    bits = min(max(1 << (16 * hashes.count()).bit_length(), 1 << 12), most)
+    mask = F.lit(bits - 1)
+    bit = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
+    found = (
+        hashes.select(bit.alias("bit"))
+        .groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+        .toArrow()
+    )
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return words
+
+
+def maybe_in(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each hash, whether it may be one of the keys of the filter."""
+    h, words = h.view(np.uint64), words.view(np.uint64)
+    hit = np.ones(len(h), bool)
+    for shift in (0, 32):
+        at = (h >> np.uint64(shift)) & np.uint64(len(words) * 64 - 1)
+        hit &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return hit

@@ -1,10 +1,18 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes, exact shingle sets decide.
 
 A text's words are its runs of letters and digits, ASCII letters lower-cased; its set holds the hashes
-of its runs of five words (one of all words, if it has fewer).  Texts with equal sets are one class and
-stand for each other.  Each class has a signature for every tree of the forest.  Matching starts with
-whole signatures and shortens the matched prefix until pairs at the threshold share a prefix in some
-tree with the target recall; sorted by that prefix, the classes below one node of a trie are neighbours.
+of its runs of `size` words (one of all words, if it has fewer).  Texts with equal sets are one class and
+stand for each other.  Each class has a signature for every tree of the forest: `DEPTH` values, each equal
+between two sets with the probability of their similarity s.
+
+A tree is the sorted list of all signatures: sorted by them, the classes below one node of the prefix trie are
+neighbours, and the longest common prefix of two neighbours says from which depth on they part.  Classes
+that share less than `LEAST_DEPTH` values with their neighbours, in a tree, leave it.  Matching starts with
+whole signatures.  A sample of neighbours, with the similarity that their signatures show, tells how like
+the pairs are that may reach the threshold; at a depth such a pair has a common prefix in some tree with the
+probability 1 - (1 - s^depth)^trees.  The matched prefix is shortened by one value until that recall
+meets the target for the least similar of them.  (One word of a text replaced changes `size` shingles of n: two texts of n shingles
+and one such word are at (n - size) / (n + size), so 0.8 takes 45 shingles of five words.)
 
 Classes that share a node are put into blocks of bounded volume, and blocks are compared whole where a
 node joins them: the sizes of all intersections come from products of 0/1 matrices over the shingles
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voicelode.llm.common import Bloom, Scratch, SpanHasher, mix64, small_batches
+from voicelode.llm.common import Scratch, SpanHasher, bloom, maybe_in, mix64, small_batches
 from voicelode.llm.components import components
 from voicelode.llm.words import ALNUM, Words, lowered, shingles
 
@@ -37,7 +45,11 @@ SHINGLE = 5
 TREES = 36
 #: Values of a whole signature in one tree.
 DEPTH = 8
+LEAST_DEPTH = 4
 TARGET_RECALL = 0.99999
+#: Pairs of neighbours, about, from which the recall is estimated, and what chance may add to the similarity they show.
+SAMPLE = 1 << 14
+DOUBT = 0.03
 #: Texts and shingles of a block, about.
 BLOCK_TEXTS = 128
 BLOCK_SHINGLES = 1 << 16
@@ -45,9 +57,19 @@ BLOCK_SHINGLES = 1 << 16
 COLUMNS = 4096
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest prefix with which pairs at the threshold meet in some tree with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+def recall_at(depth: int, similarity: np.ndarray, trees: int) -> np.ndarray:
+    """The probability that two sets share a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def prefix_depth(similarity: np.ndarray, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
+    """The longest prefix that finds even the least similar pairs, of those that may reach the threshold, with the target recall.
+
+    `similarity` is what the signatures of pairs show that share `LEAST_DEPTH` values in some tree.
+    """
+    some = np.clip(similarity[similarity >= threshold - DOUBT] - DOUBT, threshold, 1.0)
+    depth = DEPTH
+    while depth > LEAST_DEPTH and len(some) and recall_at(depth, some, TREES).min() < target:
         depth -= 1
     return depth
 
@@ -64,37 +86,104 @@ def _node_ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([mix64(mix64(s).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, node, size, keys): the hash and size of each text's set, and one trie node a tree."""
+def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, node, size, paths): the hash and size of each text's set, and its signature in each tree."""
 
     def sign(batches):
         rng = np.random.default_rng(20260101)
-        factors = rng.integers(1, 1 << 63, TREES * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        offsets = rng.integers(0, 1 << 63, TREES * depth, dtype=np.uint64)
+        factors = rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        offsets = rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
         half = np.uint64(32)
-        for batch, sets in _sets(batches, SHINGLE):
+        for batch, sets in _sets(batches, size):
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
-            keys = np.zeros((len(sets), TREES), np.uint64)
+            values = np.zeros((len(sets), TREES * DEPTH), ">u2")
             if len(full):
-                values = np.concatenate([sets[i] for i in full])
+                flat = np.concatenate([sets[i] for i in full])
                 starts = np.cumsum(sizes[full]) - sizes[full]
-                for tree in range(TREES):
-                    key = np.full(len(full), tree + 1, np.uint64)
-                    for k in range(tree * depth, tree * depth + depth):
-                        low = np.minimum.reduceat((values * factors[k] + offsets[k]) >> half, starts)
-                        key = mix64(key + low)
-                    keys[full, tree] = key
+                for k in range(TREES * DEPTH):
+                    low = np.minimum.reduceat((flat * factors[k] + offsets[k]) >> half, starts)
+                    values[full, k] = (mix64(low) & np.uint64(0xFFFF)).astype(np.uint16)
+            paths = pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(2 * DEPTH), len(sets) * TREES, [None, pa.py_buffer(values.tobytes())]
+            )
             lists = pa.ListArray.from_arrays(
-                np.arange(0, keys.size + 1, TREES, dtype=np.int32), pa.array(keys.view(np.int64).ravel())
+                np.arange(0, len(paths) + 1, TREES, dtype=np.int32), paths.cast(pa.binary())
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(_node_ids(sets)), pa.array(sizes.astype(np.int32)), lists],
-                names=["doc_id", "node", "size", "keys"],
+                names=["doc_id", "node", "size", "paths"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, node long, size int, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, node long, size int, paths array<binary>")
+
+
+def common_prefixes(tree: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """How many first values each row has in common with the one before; the rows are sorted."""
+    same = np.cumprod(path[1:] == path[:-1], axis=1).sum(axis=1)
+    return np.where(tree[1:] == tree[:-1], same, 0)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted trees with `depth`, the longest prefix shared with a neighbour, and the next row's node.
+
+    What stands next to the first and the last row of a task is not known; both stay at any depth.
+    """
+    held, before = None, DEPTH
+    for batch in batches:
+        table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        n = table.num_rows
+        if not n:
+            continue
+        paths = np.frombuffer(b"".join(table.column("path").to_pylist()), ">u2").reshape(n, DEPTH)
+        lcp = common_prefixes(table.column("tree").to_numpy(), paths)
+        yield _with_depth(table.slice(0, n - 1), np.maximum(np.r_[before, lcp[:-1]], lcp) if n > 1 else lcp, lcp, table)
+        held, before = table.slice(n - 1), int(lcp[-1]) if n > 1 else before
+    if held is not None:
+        yield _with_depth(held, np.array([DEPTH]), np.zeros(0, np.int64), held)
+
+
+def _with_depth(rows: pa.RecordBatch, depth: np.ndarray, lcp: np.ndarray, table: pa.RecordBatch) -> pa.RecordBatch:
+    follows = table.column("node").slice(1, len(lcp)).to_numpy() if len(lcp) else np.zeros(rows.num_rows, np.int64)
+    unlike = lcp < LEAST_DEPTH if len(lcp) else np.ones(rows.num_rows, bool)
+    out = pa.RecordBatch.from_arrays(
+        [*rows.columns, pa.array(depth[: rows.num_rows].astype(np.int32)), pa.array(follows[: rows.num_rows], mask=unlike[: rows.num_rows])],
+        names=["tree", "path", "node", "depth", "next"],
+    )
+    return out.filter(pa.array(depth[: rows.num_rows] >= LEAST_DEPTH))
+
+
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The similarity that two signatures show: the share of equal values."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).flatten().to_pylist()), ">u2").reshape(batch.num_rows, -1) for k in "ab")
+        yield pa.RecordBatch.from_pydict({"similarity": (a == b).mean(axis=1)})
+
+
+def forest(classes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, key): the classes below each node of the tries that two classes or more share, at the depth that the recall takes."""
+    rows = classes.filter("size > 0").select("node", F.posexplode("paths").alias("tree", "path"))
+    order = ["tree", "path", "node"]
+    ordered = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    near = ordered.mapInArrow(_neighbours, "tree int, path binary, node long, depth int, next long")
+    near = scratch.table(near, "trees")
+
+    pair = near.filter("next is not null").select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v"))
+    pairs = scratch.table(pair.distinct(), "neighbours")
+    every = max(1, pairs.count() // SAMPLE)
+    some = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(every)) == 0)
+    some = scratch.table(some, "sample")
+    for side, name in (("u", "a"), ("v", "b")):
+        some = some.join(classes.select(F.col("node").alias(side), F.col("paths").alias(name)), side)
+    shown = some.select("a", "b").mapInArrow(_shown, "similarity double").toArrow().column("similarity").to_numpy()
+    depth = prefix_depth(shown, threshold)
+
+    keyed = near.filter(F.col("depth") >= depth).select(
+        "node", F.xxhash64("tree", F.substring("path", 1, 2 * depth)).alias("key")
+    )
+    repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return keyed.join(scratch.table(repeated, "repeated"), "key")
 
 
 def intersections(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -224,23 +313,23 @@ def _block_pairs(shared: DataFrame, classes: DataFrame, scratch: Scratch) -> tup
     return members, scratch.table(pairs, "pairs")
 
 
-def similarity_links(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, class_id) of every row of `docs`, and the verified (u, v, links).
+def similarity_links(
+    docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, size: int = SHINGLE
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, set_id) of every row of `docs`, and the verified (u, v, links).
 
     Rows with v are links of a spanning forest; rows without v add `links` to the links of class u.
     """
-    signed = scratch.table(signatures(docs, prefix_depth(threshold)), "signatures")
+    signed = scratch.table(signatures(docs, size), "signatures")
     classes = signed.groupBy("node").agg(
-        F.min("doc_id").alias("class_id"), F.first("size").alias("size"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("class_id"), F.first("size").alias("size"), F.first("paths").alias("paths")
     )
     classes = scratch.table(classes, "classes")
-    keyed = classes.filter("size > 0").select("node", F.explode("keys").alias("key"))
-    repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    shared = scratch.table(keyed.join(scratch.table(repeated, "repeated"), "key"), "shared")
+    shared = scratch.table(forest(classes, scratch, threshold), "shared")
     members, pairs = _block_pairs(shared, classes.select("node", "class_id", "size"), scratch)
 
     def sets(batches):
-        for batch, found in _sets(batches, SHINGLE):
+        for batch, found in _sets(batches, size):
             own = np.flatnonzero(_node_ids(found) == batch.column("node").to_numpy())  # an id may be repeated
             flat = np.concatenate([found[i] for i in own]) if len(own) else np.zeros(0, np.uint64)
             ends = np.cumsum([0, *(len(found[i]) for i in own)])
@@ -254,11 +343,11 @@ def similarity_links(docs: DataFrame, scratch: Scratch, threshold: float = THRES
             )
 
     # texts that cannot be members do not move
-    wanted = docs.sparkSession.sparkContext.broadcast(Bloom(members.select(F.xxhash64("class_id").alias("h"))))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(members.select(F.xxhash64("class_id").alias("h"))))
 
     def likely(batches):
         for batch in batches:
-            yield batch.filter(pa.array(wanted.value.has(batch.column("h").to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(maybe_in(wanted.value, batch.column("h").to_numpy(zero_copy_only=False))))
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     rows = rows.mapInArrow(likely, rows.schema).select("doc_id", "text")
@@ -282,33 +371,41 @@ def similarity_links(docs: DataFrame, scratch: Scratch, threshold: float = THRES
         .sortWithinPartitions("left", "right")
     )
     links = scratch.table(placed.mapInArrow(_verify(threshold), "u long, v long, links long"), "links")
-    scratch.drop("sets", "shared", "repeated", "at", "labels")
-    rows = signed.select("doc_id", "node").join(classes.select("node", "class_id"), "node")
+    scratch.drop("sets", "shared", "repeated", "at", "labels", "trees", "neighbours", "sample")
+    rows = signed.select("doc_id", "node").join(classes.select("node", F.col("class_id").alias("set_id")), "node")
     return rows, links
 
 
-def link_counts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links: the smallest id of the texts with an equal set, and how many other classes are similar."""
-    rows, links = similarity_links(docs, Scratch(docs.sparkSession), threshold)
+def _grouped(rows: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """`rows` with the label of their group of linked classes, and (label, smallest id) of the groups."""
+    labels = components(links.filter("v is not null").select("u", "v"), scratch).withColumnRenamed("node", "_node")
+    grouped = rows.join(labels, rows["node"] == F.col("_node"), "left")
+    grouped = scratch.table(grouped.withColumn("label", F.coalesce("label", "node")).drop("_node"), "grouped")
+    return grouped, scratch.table(grouped.groupBy("label").agg(F.min("doc_id").alias("group_id")), "groups")
+
+
+def link_counts(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """doc_id, class_id, set_id, n_links of every row.
+
+    `class_id` is the smallest id of the texts that are linked, directly or by others; `set_id` the smallest of
+    those with an equal set, and `n_links` the number of other sets that are similar.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows, links = similarity_links(docs, scratch, threshold, size)
     counted = links.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("n_links"))
-    return rows.join(counted, "node", "left").select(
-        "doc_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    grouped, groups = _grouped(rows, links, scratch)
+    return grouped.join(groups, "label").join(counted, "node", "left").select(
+        "doc_id", F.col("group_id").alias("class_id"), "set_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
 
 
-def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """`docs` with one document of each group of linked texts: the one with the smallest id.
 
     Rows with the id of a document that stays all stay; a row without id always stays.
     """
     scratch = Scratch(docs.sparkSession)
-    rows, links = similarity_links(docs, scratch, threshold)
-    labels = components(links.filter("v is not null").select("u", "v"), scratch)
-    grouped = rows.join(labels, rows["node"] == labels["node"], "left").select(
-        "doc_id", F.coalesce("label", rows["node"]).alias("label")
-    )
-    grouped = scratch.table(grouped, "grouped")
-    keep = scratch.table(grouped.groupBy("label").agg(F.min("doc_id").alias("keep_id")), "keep")
-    gone = grouped.join(keep, "label").filter("doc_id != keep_id").select("doc_id").distinct()
-    gone = scratch.table(gone.join(keep.select(F.col("keep_id").alias("doc_id")), "doc_id", "left_anti"), "gone")
+    grouped, keep = _grouped(*similarity_links(docs, scratch, threshold, size), scratch)
+    gone = grouped.join(keep, "label").filter("doc_id != group_id").select("doc_id").distinct()
+    gone = scratch.table(gone.join(keep.select(F.col("group_id").alias("doc_id")), "doc_id", "left_anti"), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -4,14 +4,17 @@ The base kinds (email, ip, card, phone) are found in whole texts.  Each distinct
 entity.  It is paired with every word that stands outside of base spans in a document that mentions it,
 and counts over all documents give the share of the entity's information that a word discloses:
 
-    disclosure(e, t) = PMI(e, t) / IC(e) = log(N joint(e, t) / (df(e) df(t))) / log(N / df(e))
+    disclosure(e, t) = PMI(e, t) / IC(e) = log(N P(e | t) / df(e)) / log(N / df(e))
 
-It is at most 1, when the word occurs with the entity only.  A word whose disclosure of some entity reaches
+P(e | t) is the share of the word's documents that mention the entity.  A rare word meets an entity by chance,
+so the share's lower confidence bound counts (Wilson's, `CONFIDENCE` deviations) and not joint(e, t) / df(t):
+two documents of two are 0.27 of a share, twenty of twenty are 0.79.  The measure is at most 1, for a word
+that occurs often and with the entity only.  A word whose disclosure of some entity reaches
 `remove` is removed wherever it stands, in all documents, whether they mention the entity or not; one that
 reaches `generalise` is replaced by its kind.  Pairs seen in fewer than `support` documents tell nothing,
 and an entity that every document mentions has no information to disclose.
 
-Only pairs that can reach `generalise` are counted.  As joint(e, t) is at most df(e), the word must have
+Only pairs that can reach `generalise` are counted.  As P(e | t) is at most df(e) / df(t), the word must have
 
     df(t) <= df(e) (N / df(e)) ^ (1 - generalise)
 
@@ -32,11 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voicelode.llm.common import Bloom, Scratch, SpanHasher, small_batches, texts_of
+from voicelode.llm.common import Scratch, SpanHasher, bloom, maybe_in, small_batches, texts_of
 from voicelode.llm.words import ALNUM, Words, lowered
 
 KINDS = ("email", "ip", "card", "phone")
@@ -44,6 +47,8 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = sys.maxsize
 #: Documents that must show a pair before it counts.
 SUPPORT = 2
+#: Standard deviations by which the share of a word's documents that mention an entity is taken to be too high.
+CONFIDENCE = 2.326
 REMOVE = 0.9
 GENERALISE = 0.75
 #: Information that an entity must have to be protected: no entity is left out.
@@ -59,7 +64,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 
 def luhn(digits: str) -> bool:
@@ -178,13 +182,13 @@ def counted_terms(term: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
 
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): in how many documents each of `terms` occurs."""
-    wanted = docs.sparkSession.sparkContext.broadcast(Bloom(terms.select(F.col("term").alias("h"))))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(terms.select(F.col("term").alias("h"))))
 
     def count(batches):
         hasher, held = SpanHasher(), []
         for batch in small_batches(batches):
             words = Words(lowered(batch.column("text")), ALNUM, hasher)
-            hit = np.flatnonzero(wanted.value.has(words.hashes))
+            hit = np.flatnonzero(maybe_in(wanted.value, words.hashes))
             h, doc = words.hashes[hit], np.searchsorted(words.at, hit, side="right") - 1
             order = np.lexsort([doc, h])
             h, doc = h[order], doc[order]
@@ -201,7 +205,7 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.join(terms, "term")
 
 
-def words_with(batches, known: Bloom):
+def words_with(batches, known: np.ndarray):
     """(entities that may be known, distinct words outside of base spans) of each text that has such entities."""
     hasher = SpanHasher()
     for batch in small_batches(batches):
@@ -210,7 +214,7 @@ def words_with(batches, known: Bloom):
             spans = base_spans(text)
             if spans:
                 entities = np.unique(np.array(entity_hashes(text, spans), np.int64))
-                entities = entities[known.has(entities)]
+                entities = entities[maybe_in(known, entities)]
                 if len(entities):
                     texts.append(text)
                     held.append((entities, spans))
@@ -223,7 +227,7 @@ def words_with(batches, known: Bloom):
 
 def shared_terms(docs: DataFrame, known: DataFrame) -> DataFrame:
     """The words that stand in at least `SUPPORT` documents with known entities."""
-    wanted = docs.sparkSession.sparkContext.broadcast(Bloom(known.select(F.col("entity").alias("h"))))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(known.select(F.col("entity").alias("h"))))
 
     def count(batches):
         held, size = [], 0
@@ -242,22 +246,21 @@ def shared_terms(docs: DataFrame, known: DataFrame) -> DataFrame:
     return counted.filter(F.col("df") >= SUPPORT).select("term")
 
 
-class Listed:
-    """The counts of the most frequent keys of a table, and `most`, which no other key's count exceeds."""
+def listed(table: DataFrame, key: str, count: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent keys of a table, sorted, their counts, and what no other key's count exceeds."""
+    rows = table.select(key, count).orderBy(F.desc(count)).limit(LISTED).toArrow()
+    keys, counts = rows.column(key).to_numpy(), rows.column(count).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order], int(counts.min()) if len(counts) else 0
 
-    def __init__(self, table: DataFrame, key: str, count: str):
-        rows = table.select(key, count).orderBy(F.desc(count)).limit(LISTED).toArrow()
-        keys, counts = rows.column(key).to_numpy(), rows.column(count).to_numpy()
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-        self.most = int(counts.min()) if len(counts) else 0
 
-    def of(self, keys: np.ndarray, other: int) -> np.ndarray:
-        """The counts of keys, `other` for those that are not listed."""
-        if not len(self.keys):
-            return np.full(len(keys), other, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], other)
+def counts_of(found: tuple[np.ndarray, np.ndarray, int], keys: np.ndarray, other: int) -> np.ndarray:
+    """The counts of keys, `other` for those that are not listed."""
+    known, counts, _ = found
+    if not len(known):
+        return np.full(len(keys), other, np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, counts[at], other)
 
 
 def merge_pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,17 +282,17 @@ def reach(df: np.ndarray, n: int) -> np.ndarray:
 def joint_counts(docs: DataFrame, known: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
     """(entity, term, joint) of the pairs that can disclose enough, over whole documents."""
     context = docs.sparkSession.sparkContext
-    wanted = context.broadcast(Bloom(known.select(F.col("entity").alias("h"))))
-    words = context.broadcast(Bloom(frequencies.select(F.col("term").alias("h"))))
-    lists = context.broadcast((Listed(known, "entity", "df_e"), Listed(frequencies, "term", "df")))
+    wanted = context.broadcast(bloom(known.select(F.col("entity").alias("h"))))
+    words = context.broadcast(bloom(frequencies.select(F.col("term").alias("h"))))
+    lists = context.broadcast((listed(known, "entity", "df_e"), listed(frequencies, "term", "df")))
 
     def count(batches):
         entity_list, word_list = lists.value
         held, size = [], 0
         for entities, terms in words_with(batches, wanted.value):
-            terms = terms[words.value.has(terms)].view(np.int64)
-            df = word_list.of(terms, 0)
-            for entity, most in zip(entities, reach(entity_list.of(entities, entity_list.most), n), strict=True):
+            terms = terms[maybe_in(words.value, terms)].view(np.int64)
+            df = counts_of(word_list, terms, 0)
+            for entity, most in zip(entities, reach(counts_of(entity_list, entities, entity_list[2]), n), strict=True):
                 some = terms[df <= most]
                 held.append((np.full(len(some), entity), some, np.ones(len(some), np.int64)))
                 size += len(some)
@@ -305,6 +308,13 @@ def joint_counts(docs: DataFrame, known: DataFrame, frequencies: DataFrame, n: i
     return pairs.groupBy("entity", "term").agg(F.sum("joint").alias("joint")).filter(F.col("joint") >= SUPPORT)
 
 
+def least_share(joint: Column, df: Column) -> Column:
+    """The lower confidence bound of the share joint / df (Wilson's)."""
+    share, z = joint / df, CONFIDENCE
+    spread = F.sqrt(share * (1 - share) / df + z * z / (4 * df * df))
+    return (share + z * z / (2 * df) - z * spread) / (1 + z * z / df)
+
+
 def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(term, disclosure) of words that disclose enough of some entity to act on."""
     n = found.count()
@@ -315,20 +325,20 @@ def disclosures(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFram
     most = float(reach(np.array([known.agg(F.max("df_e")).first()[0] or 0]), n)[0])
     frequencies = scratch.table(term_frequencies(docs, terms).filter(F.col("df") <= most), "frequencies")
     pairs = scratch.table(joint_counts(docs, known, frequencies, n), "pairs")
-    pmi = F.log2(F.lit(float(n)) * F.col("joint") / (F.col("df_e") * F.col("df")))
+    pmi = F.log2(F.lit(float(n)) * least_share(F.col("joint"), F.col("df")) / F.col("df_e"))
     scored = pairs.join(known, "entity").join(frequencies, "term").select("term", (pmi / ic).alias("disclosure"))
     return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
 
 
 def term_places(docs: DataFrame, telling: DataFrame) -> DataFrame:
     """(doc_id, text_key, start, end, term): the places outside of base spans of words that may be telling."""
-    wanted = docs.sparkSession.sparkContext.broadcast(Bloom(telling.select(F.col("term").alias("h"))))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(telling.select(F.col("term").alias("h"))))
 
     def find(batches):
         hasher = SpanHasher()
         for batch in small_batches(batches):
             words = PlacedWords(lowered(batch.column("text")), hasher)
-            hit = np.flatnonzero(wanted.value.has(words.hashes))
+            hit = np.flatnonzero(maybe_in(wanted.value, words.hashes))
             cut = np.searchsorted(hit, words.at)
             rows = np.flatnonzero(np.diff(cut))
             out = []
