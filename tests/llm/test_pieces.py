@@ -38,17 +38,10 @@ def test_list_and_heap_agree(model):
         assert pieces._merged_short(part, model.rank) == pieces._merged_long(part, model.rank)
 
 
-def test_decoding_is_made_from_the_ids(model, monkeypatch):
-    text = "The cat 中 sat\nthere"
+def test_decoded_text_comes_from_the_library(monkeypatch):
     own = pieces.PieceModel(pieces.model_path())
-    cat = str(model.library.piece_to_id("▁cat"))
-    own._written[cat] = b" dog"
-    monkeypatch.setattr(own, "_check", lambda *a: None)
-    assert [d for _, d in own.encode([text])] == [text.replace("cat", "dog")]
-    with pytest.raises(RuntimeError, match="decoded text differs"):
-        wrong = pieces.PieceModel(pieces.model_path())
-        wrong._written[cat] = b" dog"
-        list(wrong.encode([text]))
+    monkeypatch.setattr(own, "_check", lambda text, ids: text.upper())  # what the library would have decoded
+    assert [d for _, d in own.encode(["the cat", ""])] == ["THE CAT", ""]
 
 
 def test_forgetting_changes_nothing(model, monkeypatch):

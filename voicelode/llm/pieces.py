@@ -7,10 +7,10 @@ then by place; the best one is merged and the pairs it makes with its new neighb
 What is no piece in the end is written as its bytes.
 
 Tasks work on Arrow batches in slices of bounded size and remember the ids of short parts.  Every part
-that is not remembered is encoded by the agenda and decoded from its ids again; the new parts of a slice, and
-the whole first text of it, are compared with the sentencepiece library, ids and decoded text; a difference
-ends the job.  A document's decoded text is that of its ids, part by part: a part's ids are the bytes of whole
-characters, so no character crosses two parts.  A vocabulary that is not of this kind is refused.
+that is not remembered is encoded by the agenda; the ids of the new parts of a slice are compared with those of
+the sentencepiece library and decoded by it, and so is the whole first text of a slice; a difference ends the
+job.  A document's decoded text is put together from what its parts' ids were decoded to: a part's ids are
+whole characters, so none crosses two parts.  A vocabulary that is not of this kind is refused.
 
 Defined results: a null text counts as empty, an empty one has no ids; equal rows get equal results;
 marks in a text decode as spaces, as in the library.
@@ -113,8 +113,6 @@ class PieceModel:
         self.ids = {lib.id_to_piece(i): i for i in normal}
         self.rank = {piece: -lib.get_score(i) for piece, i in self.ids.items()}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self._written = {str(i): piece.replace(MARK, " ").encode("utf-8", "surrogatepass") for piece, i in self.ids.items()}
-        self._written |= {str(i): bytes([b]) for b, i in enumerate(self.bytes)}
         odd = [p for p in self.ids if re.search(f"[^{MARK}]{MARK}", p)]
         if odd or not all(lib.is_byte(b) for b in self.bytes):
             raise ValueError(f"not a merge-type vocabulary with byte pieces and marks in front only: {odd[:5]}")
@@ -125,7 +123,8 @@ class PieceModel:
         cuts = [f"(?<={_LETTER.pattern})(?=[{re.escape(''.join(ends))}])"] * bool(ends)
         cuts += [f"(?<=[{re.escape(''.join(starts))}])"] * bool(starts)
         self._cut = re.compile("|".join(cuts)).split if cuts else lambda part: [part]
-        self._known: dict[str, tuple[str, str]] = {}
+        self._known: dict[str, str] = {}
+        self._decoded: dict[str, str] = {}
         self._runs: dict[str, str] = {}
 
     def _encode_run(self, run: str) -> str:
@@ -152,34 +151,34 @@ class PieceModel:
             out.append(ids)
         return ",".join(out)
 
-    def decode_ids(self, ids: str) -> str:
-        """The text of comma-joined ids: the pieces' characters and bytes, marks as spaces."""
-        written = self._written
-        return b"".join([written[i] for i in ids.split(",")]).decode("utf-8", "replace") if ids else ""
-
-    def _check(self, text: str, ids: str, decoded: str) -> None:
+    def _check(self, text: str, ids: str) -> str:
+        """The library's decoded text of these ids, which must be those it gives the text."""
         own = self.library.encode(text)
         if ",".join(map(str, own)) != ids:
             raise RuntimeError(f"ids differ from the library's: {text[:200]!r}")
-        if (self.library.decode(own) if own else "") != decoded:
+        decoded = self.library.decode(own) if own else ""
+        if decoded != text.replace(MARK, " "):
             raise RuntimeError(f"the decoded text differs from the library's: {text[:200]!r}")
+        return decoded
 
-    def _learn(self, parts: list[str]) -> dict[str, tuple[str, str]]:
-        """Ids and decoded text of parts (each without its first mark); all of them are checked against the library."""
-        learnt = {}
-        for p in parts:
-            ids = self.encode_part(MARK + p)
-            learnt[p] = ids, self.decode_ids(ids)
-        together = []
+    def _learn(self, parts: list[str]) -> None:
+        """Remember ids and decoded text of parts (each without its first mark), both checked against the library."""
+        learnt = {p: self.encode_part(MARK + p) for p in parts}
+        decoded, together = {}, []
         for p in parts:  # the library puts the first mark there itself
             if p.strip(MARK):
                 together.append(p)
-            elif p:  # marks only: they would join those of the next part
-                self._check(" " * len(p), learnt[p][0], learnt[p][1][1:])
+            else:  # marks only: they would join those of the next part
+                decoded[p] = " " + (self._check(" " * len(p), learnt[p]) if p else "")
         if together:
-            ids, decoded = zip(*[learnt[p] for p in together], strict=True)
-            self._check(" ".join(together).replace(MARK, " "), ",".join(ids), "".join(decoded)[1:])
-        return learnt
+            text = self._check(" ".join(together).replace(MARK, " "), ",".join([learnt[p] for p in together]))
+            at = 0
+            for p in together:  # of what the library has decoded, the characters of each part
+                end = at + len(p)
+                decoded[p] = " " + text[at:end]
+                at = end + 1
+        self._known.update(learnt)
+        self._decoded.update(decoded)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids, comma-joined; decoded text) of each text."""
@@ -191,21 +190,19 @@ class PieceModel:
             parts.append(found)
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        learnt = self._learn(list(set().union(*parts).difference(self._known)))
-        self._known.update(learnt)
-        find = self._known
+            self._decoded.clear()
+        new = list(set().union(*parts).difference(self._known))
+        self._learn(new)
+        find, written = self._known, self._decoded
         for n, (found, text) in enumerate(zip(parts, texts, strict=True)):
-            if found:
-                ids, decoded = zip(*[find[p] for p in found], strict=True)
-                ids, decoded = ",".join(ids), "".join(decoded)[1:]
-            else:
-                ids = decoded = ""
-            if not n:
-                self._check(text, ids, decoded)
+            ids = ",".join([find[p] for p in found])
+            decoded = "".join([written[p] for p in found])[1:]
+            if not n and self._check(text, ids) != decoded:
+                raise RuntimeError(f"the decoded text differs from the library's: {text[:200]!r}")
             yield ids, decoded
-        for p in learnt:
+        for p in new:
             if len(p) > LONGEST:
-                del find[p]
+                del find[p], written[p]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
