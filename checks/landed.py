@@ -411,14 +411,19 @@ def rejected_payloads(spark, sf):
 @query("""select n, case n % 3 when 1 then 'not a JSON array' else 'broken JSON' end as reason
  from (select distinct doc_id % 12 as n from documents) where n % 3 <> 0""")
 def rejected_imports(spark, sf):
-    """Twelve files of items: whole arrays, objects and arrays that were cut off."""
+    """Twelve files of items, an item a line: whole arrays, objects and arrays that were cut off."""
     folder = scratch_path(spark, "imports")
-    n = (F.col("doc_id") % 12).alias("n")
-    items = F.to_json(F.sort_array(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")))))
-    files = table(spark, sf, "documents").groupBy(n).agg(items.alias("items"))
-    value = F.when(F.col("n") % 3 == 1, F.concat(F.lit('{"items":'), "items", F.lit("}")))
-    value = value.when(F.col("n") % 3 == 2, F.left("items", F.length("items") - 3)).otherwise(F.col("items"))
-    files.select(value.alias("value"), F.col("n").alias("file_no")).repartition("file_no").write.partitionBy("file_no").text(folder)
+    docs = table(spark, sf, "documents").select((F.col("doc_id") % 12).alias("n"), "doc_id", "text")
+    item = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")))
+    body = docs.select("n", F.col("doc_id").alias("place"), F.concat(item, F.lit(",")).alias("value"))
+    numbers = docs.select("n").distinct()
+    last = F.lit((1 << 62) + 1)
+    heads = numbers.select("n", F.lit(-1).cast("long").alias("place"), F.when(F.col("n") % 3 == 1, '{"items":[').otherwise("[").alias("value"))
+    # an object behind the last comma; cut-off arrays have no end
+    ends = numbers.filter("n % 3 <> 2").select("n", last.alias("place"), F.when(F.col("n") % 3 == 1, '{"id":"end"}]}').otherwise('{"id":"end"}]').alias("value"))
+    rows = body.unionByName(heads).unionByName(ends)
+    rows = rows.repartition("n").sortWithinPartitions("n", "place")
+    rows.select("value", F.col("n").alias("file_no")).write.option("lineSep", "\n").partitionBy("file_no").text(folder)
     return imports.rejected_imports(spark, folder).select(
         F.regexp_extract("file", r"file_no=(\d+)", 1).cast("bigint").alias("n"), "reason"
     )
@@ -472,6 +477,33 @@ def stream_ingest(spark, sf):
     )
 
 
+@query(f"""with posts as (select doc_id as seq, 2 as n_queries, '{views.TOPIC}' as topic,
+  {_TWEET_SQL} from documents), {views.scored_sql(None)}
+ select id, body, points, concat('query ', cast(cast(replace(id, 'x_', '') as bigint) // 30 as varchar), '|later')
+  as matched_queries, topic_relevance, relevance_score, relevance_score >= 5 as alert from scored""")
+def stream_hits_over_batches(spark, sf):
+    """Every post is hit by two queries in files of their own, the later hit with another text; each file is a micro-batch."""
+    landed = scratch_path(spark, "landed")
+    first = payloads.parse_payloads(tweet_lines(spark, sf), "tweets")
+    later = first.withColumns(
+        {
+            "query": F.lit("later"),
+            "fetched_seq": F.col("fetched_seq") + 1000000,
+            "data": F.transform("data", lambda d: d.withField("text", F.lit("later"))),
+        }
+    )
+    first.unionByName(later).select(F.to_json(F.struct("*")).alias("value")).repartition(4).write.text(landed)
+    store = PostStore(spark, scratch_path(spark, "store"))
+    start_ingest(
+        read_stream(spark, landed, "tweets", files_per_batch=1), payloads.read_tweets, store,
+        scratch_path(spark, "progress"), settings=SETTINGS, keep="all",
+    ).awaitTermination()
+    return store.read("posts").select(
+        "id", "body", "points", joined("matched_queries").alias("matched_queries"), "topic_relevance", "relevance_score",
+        (F.col("relevance_score") >= SETTINGS.min_score).alias("alert"),
+    )
+
+
 @query(f"""with {views.POSTS_SQL} select id, platform, cast(epoch(created_at) as bigint) as created
  from posts""")
 def stream_dedup_posts(spark, sf):

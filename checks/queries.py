@@ -202,10 +202,11 @@ def match_queries(spark, sf):
     return matches(spark, sf).select("id", "seq", "query", big("query_no"))
 
 
-# more queries than one group: words of part names with an empty, a null and repeated phrases
+# every row of `part` is a query: letters of part names, with an empty, a null and repeated phrases
 _MANY_SQL = """select cast(p_partkey as bigint) as query_no, concat('q', cast(p_partkey % 290 as varchar(20))) as query,
- case when p_partkey = 1 then '' when p_partkey = 2 then null else substring(p_name, cast(p_partkey % 7 as int) + 1, 2) end
-  as phrase, substring(p_name, 1, 1) as one, 'license' as two from {part} where p_partkey <= 300"""
+ case when p_partkey = 1 then '' when p_partkey = 2 then null
+  else substring(p_name, cast(p_partkey % 7 as int) + 1, cast(3 + p_partkey % 3 as int)) end
+  as phrase, substring(p_name, 1, 1) as one, 'license' as two from {part}"""
 
 
 @query(f"""with {POSTS_SQL}, q as ({_MANY_SQL.format(part='part')})
@@ -214,7 +215,7 @@ _MANY_SQL = """select cast(p_partkey as bigint) as query_no, concat('q', cast(p_
   and (contains(lower(concat(p.title, ' ', p.body)), lower(one)) or
    contains(lower(concat(p.title, ' ', p.body)), two))""")
 def match_queries_anchored(spark, sf):
-    """More queries than one group of expressions holds; the name is that of an earlier form."""
+    """A query table that is larger than a person writes; the name is that of an earlier form."""
     queries = spark.sql(_MANY_SQL.format(part="{part}"), part=table(spark, sf, "part"))
     queries = queries.withColumn("alternatives", F.array("one", "two"))
     return filters.match_queries(posts(spark, sf), queries).select("id", "seq", "query", "query_no")
@@ -253,7 +254,9 @@ def first_per_key(spark, sf):
   from posts where platform = 'hn' union all
  select 'producthunt', concat('ph_', cast(page_id as varchar)), url,
   1125899906842624 + page_id from pages union all
- select 'reddit', id, null, 2251799813685248 + seq from posts where platform = 'reddit'""")
+ select platform, id, null, 2251799813685248 + seq from posts where platform = 'producthunt' union all
+ select platform, id, null, 3377699720527872 + seq from posts where platform = 'reddit' union all
+ select platform, id, null, 4503599627370496 + seq from posts where platform = 'twitter'""")
 def union_sources(spark, sf):
     own = posts(spark, sf).select("platform", "id", "seq")
     launches = table(spark, sf, "pages").select(
@@ -262,29 +265,40 @@ def union_sources(spark, sf):
         F.col("url").alias("website"),
         F.col("page_id").alias("seq"),
     )
-    return collapse.union_sources(
-        [own.filter("platform = 'hn'"), launches, own.filter("platform = 'reddit'")]
-    ).select("platform", "id", "website", "seq")
+    others = [own.filter(F.col("platform") == p) for p in ("producthunt", "reddit", "twitter")]
+    return collapse.union_sources([own.filter("platform = 'hn'"), launches, *others]).select(
+        "platform", "id", "website", "seq"
+    )
 
 
-@query(f"""with {POSTS_SQL}, extra as (select concat('doc_', cast(conv_id as varchar)) as id,
-  array_to_string(list(text order by turn)[1:5], chr(10) || '---' || chr(10)) as comments
+def _enriched_sql(header: str, separator: str) -> str:
+    quoted = ["' || chr(10) || '".join(x.split("\n")) for x in (header, separator)]
+    return f"""with {POSTS_SQL}, extra as (select concat('doc_', cast(conv_id as varchar)) as id,
+  array_to_string(list(text order by turn, text), '{quoted[1]}') as comments
   from conversations group by conv_id)
- select id, case when num_comments >= 10 and comments <> '' then body || chr(10) || chr(10)
-  || '--- TOP COMMENTS ---' || chr(10) || comments else body end as body
- from posts left join extra using (id)""")
-def enrich_with_comments(spark, sf):
-    talk = table(spark, sf, "conversations").filter("turn < 5")
+ select id, case when num_comments >= 10 and comments <> '' then body || '{quoted[0]}' || comments else body end as body
+ from posts left join extra using (id)"""
+
+
+def _enriched(spark, sf, header: str, separator: str) -> DataFrame:
+    talk = table(spark, sf, "conversations")
     comments = talk.groupBy(
         F.concat(F.lit("doc_"), F.col("conv_id").cast("string")).alias("id")
     ).agg(
         F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"),
         F.lit(0).alias("fetched_seq"),
     ).select("id", "fetched_seq", F.col("turns.text").alias("comments"))
-    enriched = collapse.enrich_with_comments(
-        posts(spark, sf), comments, values.REDDIT_COMMENT_HEADER, values.REDDIT_COMMENT_SEPARATOR
-    )
-    return enriched.select("id", "body")
+    return collapse.enrich_with_comments(posts(spark, sf), comments, header, separator).select("id", "body")
+
+
+@query(_enriched_sql(values.REDDIT_COMMENT_HEADER, values.REDDIT_COMMENT_SEPARATOR))
+def enrich_with_comments(spark, sf):
+    return _enriched(spark, sf, values.REDDIT_COMMENT_HEADER, values.REDDIT_COMMENT_SEPARATOR)
+
+
+@query(_enriched_sql(values.LAUNCH_COMMENT_HEADER, values.LAUNCH_COMMENT_SEPARATOR))
+def enrich_launches(spark, sf):
+    return _enriched(spark, sf, values.LAUNCH_COMMENT_HEADER, values.LAUNCH_COMMENT_SEPARATOR)
 
 
 # --- scoring and ranking --------------------------------------------------------------------------

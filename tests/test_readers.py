@@ -168,9 +168,11 @@ def test_search_plan(spark):
 
 @pytest.mark.parametrize("size", [256, 2])
 def test_boolean_queries_match_as_defined(spark, size, monkeypatch):
-    monkeypatch.setattr(filters, "QUERIES_PER_ARRAY", size)
+    monkeypatch.setattr(filters, "WRITTEN_QUERIES", size)
+    monkeypatch.setattr(filters, "CHUNK_QUERIES", 2)
     queries = [(0, "q0", "AI tool", ["hate", "I'd pay for"]), (1, "q1", "é", ["x"]),
-               (2, "q2", "no", ["n"]), (3, "q3", "none of these", ["x"]), (4, "q4", "AI", [])]
+               (2, "q2", "no", ["n"]), (3, "q3", "none of these", ["x"]), (4, "q4", "AI", []),
+               (5, "q5", "", ["ice", None]), (6, "q6", "ai", [None]), (7, "q7", "i t", ["zz", "A"]), (8, "q8", "AI TOOL", ["l"])]
     posts = [("a", 0, "My AI tools", "i'd PAY for it"), ("b", 1, "ai tool", "nice"),
              ("c", 2, "É x", ""), ("d", 3, "no", None), ("e", 4, None, "𝄞 no n"), ("f", 5, "", "")]
     frame = spark.createDataFrame(posts, "id string, seq int, title string, body string")
@@ -181,6 +183,8 @@ def test_boolean_queries_match_as_defined(spark, size, monkeypatch):
     for id_, _, title, body in posts:
         text = ((title or "") + " " + (body or "")).lower()
         for _, query, phrase, alternatives in queries:
-            if phrase.lower() in text and any(a.lower() in text for a in alternatives):
+            if phrase.lower() in text and any(a.lower() in text for a in alternatives if a is not None):
                 want.add((id_, query))
     assert got == want
+    again = table.unionByName(table)  # equal queries stay apart
+    assert match_queries(frame, again).count() == 2 * len(want)

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from voicelode.operators.collapse import collapse_hits
@@ -59,6 +61,43 @@ def test_a_repeated_stream_leaves_the_same_tables(spark, tmp_path):
     assert sorted(store.read("posts").select(COLUMNS).collect()) == before
 
 
+WHOLE = [*COLUMNS, "matched_queries", "topic_relevance"]
+
+
+@pytest.mark.parametrize("keep", ["all", "first"])
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_hits_over_files_in_any_order_equal_the_batch(spark, tmp_path, order, keep):
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    hits = [("q1", 0, ["1", "2"]), ("q2", 7, ["2", "3"]), ("q3", 3, ["2", "1"])]
+    for place, (query, seq, ids) in enumerate(hits):
+        data = [{"id": i, "text": f"API testing {'is slow ' * seq}{i}", "public_metrics": {"like_count": seq}} for i in ids]
+        line = {"data": data, "topic": "API testing", "query": query, "fetched_seq": seq}
+        path = folder / f"{place}.json"
+        path.write_text(json.dumps(line))
+        os.utime(path, (order.index(place) * 100 + 1e9,) * 2)  # the stream takes the oldest first
+    streamed, whole = PostStore(spark, str(tmp_path / "s")), PostStore(spark, str(tmp_path / "b"))
+    start_ingest(
+        read_stream(spark, str(folder), "tweets", files_per_batch=1), payloads.read_tweets, streamed,
+        str(tmp_path / "progress"), settings=Settings(min_score=1), keep=keep).awaitTermination()
+    landed = payloads.read_tweets(payloads.read_payloads(spark, str(folder), "tweets"))
+    ingest(collapse_hits(landed, keep), whole, "all", F.lit(dt.datetime(2026, 1, 1)), Settings(min_score=1))
+    for table in ("posts", "alerts"):
+        left = sorted(streamed.read(table).select(WHOLE).collect())
+        assert left == sorted(whole.read(table).select(WHOLE).collect()) and (len(left) == 3 or table == "alerts")
+    assert streamed.posts().count() == 3
+
+
+def test_posts_of_other_runs_are_not_revised(spark, tmp_path):
+    folder, store = tmp_path / "landed", PostStore(spark, str(tmp_path / "s"))
+    land(folder, {"a.json": range(0, 6), "b.json": range(4, 9)})
+    all_hits = payloads.read_tweets(payloads.read_payloads(spark, str(folder), "tweets"))
+    ingest(collapse_hits(all_hits, "first"), store, "search", F.lit(dt.datetime(2026, 1, 1)), Settings(min_score=1))
+    before = sorted(store.read("posts").collect())
+    run(spark, folder, store, tmp_path / "progress")
+    assert sorted(store.read("posts").collect()) == before
+
+
 def test_streaming_dedup(spark, tmp_path):
     start = dt.datetime(2026, 1, 1)
     rows = [("a", "hn", start), ("a", "x", start), ("a", "hn", start + dt.timedelta(days=3)),

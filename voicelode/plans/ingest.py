@@ -39,3 +39,18 @@ def ingest(
     alerts = scored.filter(F.col("relevance_score") >= settings.min_score)
     store.write(alerts, "alerts", load_id)
     return scored
+
+
+def revise(
+    posts: DataFrame, store: PostStore, stream: str, load_id: str, now: Column, settings: Settings = Settings()
+) -> DataFrame:
+    """Score posts again that loads of the same stream have stored, and write them as their latest revision.
+
+    `stream` is what the names of those loads begin with.  Posts that other runs have stored stay as they are.
+    """
+    stored = store.read("posts", but=load_id).filter(F.col("load_id").startswith(stream))
+    own = posts.join(stored.select("id", "topic"), ["id", "topic"], "left_semi")
+    scored = materialize(score_posts(own, settings, own_topic=True).withColumn("fetched_at", now), "revised")
+    store.write(scored, "revisions", load_id)
+    store.write(scored.filter(F.col("relevance_score") >= settings.min_score), "raised", load_id)
+    return scored

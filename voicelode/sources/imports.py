@@ -18,9 +18,13 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
 
 def rejected_imports(spark: SparkSession, path: str) -> DataFrame:
     """(file, reason) of files that are no JSON array or cannot be read; nothing of them is imported."""
-    begins = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.left(F.ltrim(F.regexp_replace("value", r"^\s+", "")), F.lit(1)).alias("mark")
-    )
+    # the first character that is not blank, from a scan by lines: no file has to fit into one value
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    mark = F.left(F.regexp_replace(F.left("value", F.lit(4096)), r"^\s+", ""), F.lit(1))
+    mark = F.when(mark != "", mark).otherwise(F.left(F.regexp_replace("value", r"^\s+", ""), F.lit(1)))
+    written = lines.withColumn("mark", mark).filter("mark <> ''")
+    begins = written.groupBy("file").agg(F.min_by("mark", "place").alias("mark"))
     no_array = begins.filter(F.col("mark") != "[").select("file", F.lit("not a JSON array").alias("reason"))
     broken = _scan(spark, path).filter("_unreadable is not null and id is null").select("file").distinct()
     broken = broken.join(no_array, "file", "left_anti")

@@ -25,9 +25,13 @@ TABLES = {
     "history": schemas.HISTORY,
     "analyzed": schemas.ANALYZED,
     "alerts": schemas.SCORED_POST,
+    "revisions": schemas.SCORED_POST,
+    "raised": schemas.SCORED_POST,
     "runs": schemas.RUNS,
 }
 _PARTITIONED = {"posts": ["topic"], "alerts": ["topic"]}
+#: Posts and alerts that a later micro-batch has changed: a table of their own, whose last row of a post counts.
+_REVISED = {"posts": "revisions", "alerts": "raised"}
 
 
 def load_name(kind: str, of: str, load_id: str) -> str:
@@ -49,7 +53,28 @@ class PostStore:
         return f"{self.root}/{table}"
 
     def read(self, table: str, but: str | None = None) -> DataFrame:
-        """A table as it is, or without the load `but`, which is being written."""
+        """A table as it is, or without the load `but`, which is being written; posts and alerts by their last revision."""
+        stored = self._stored(table, but)
+        if table not in _REVISED or not self._exists(_REVISED[table]):
+            return stored
+        columns = StructType.fromDDL(TABLES[table]).fieldNames()
+        changed = self._stored(_REVISED[table], but)
+        rest = [c for c in columns if c not in ("id", "topic", "load_id")]
+        last = changed.groupBy("id", "topic").agg(F.max_by(F.struct(*rest), "load_id").alias("_last"), F.max("load_id").alias("_by"))
+        if table == "alerts":  # a revision may be what raises one
+            first = stored.select("id", "topic", "load_id")
+            last = last.join(first, ["id", "topic"], "left").select(
+                "id", "topic", "_last.*", F.coalesce("load_id", "_by").alias("load_id")
+            )
+            return stored.join(last.select("id", "topic"), ["id", "topic"], "left_anti").unionByName(last).select(*columns)
+        joined = stored.join(last.drop("_by"), ["id", "topic"], "left")
+        return joined.withColumns({c: F.when(F.col("_last").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c)) for c in rest}).select(*columns)
+
+    def _exists(self, table: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _stored(self, table: str, but: str | None = None) -> DataFrame:
         schema = TABLES[table]
         try:
             stored = self.spark.read.schema(schema).parquet(self.path(table))

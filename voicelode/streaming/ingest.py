@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voicelode import schemas
-from voicelode.operators.collapse import collapse_hits
-from voicelode.plans.ingest import ingest
+from voicelode.plans.ingest import ingest, revise
+from voicelode.scratch import materialize
 from voicelode.settings import Settings
 from voicelode.sources.store import PostStore, load_name
 
@@ -23,6 +27,65 @@ def read_stream(spark: SparkSession, path: str, kind: str, files_per_batch: int
     )
 
 
+def _names(hits: DataFrame) -> list[str]:
+    return [c for c in hits.columns if c not in ("topic", "id", "query", "hit_seq")]
+
+
+def collapsed_stream(
+    hits: DataFrame, keep: str = "all", ttl: dt.timedelta = dt.timedelta(days=30), available_now: bool = True
+) -> DataFrame:
+    """The posts of a stream of hits, each as it is after all its hits so far, and whether it was given out before (`again`).
+
+    State is kept by topic and id: the earliest hit with its fields, and the earliest place of every query.  So a
+    post is the same whatever files and micro-batches its hits come in, and equals `collapse_hits` over all of them.
+    A post that has had no hit for `ttl` is forgotten by a stream that keeps running; a later hit of it begins anew.
+    A stream that ends with the files at hand keeps its state: waiting for time-outs it would never end.
+    """
+    if keep not in ("all", "first"):
+        raise ValueError(f"unknown keep: {keep}")
+    fields = _names(hits)
+    kind = T.StructType([hits.schema[c] for c in fields])
+    as_json = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+    packed = hits.select("topic", "id", "query", "hit_seq", F.to_json(F.struct(*fields), as_json).alias("record"))
+    forget_ms = int(ttl.total_seconds() * 1000)
+
+    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        again = state.exists
+        seq, record, queries = None, None, {}
+        if again:
+            seq, record, held = state.get
+            queries = dict(map(tuple, json.loads(held)))
+        for frame in frames:
+            for query, hit_seq, own in zip(frame["query"], frame["hit_seq"], frame["record"], strict=True):
+                hit_seq = int(hit_seq)
+                if seq is None or hit_seq < seq:
+                    seq, record = hit_seq, own
+                if query not in queries or hit_seq < queries[query]:
+                    queries[query] = hit_seq
+        state.update((seq, record, json.dumps(list(queries.items()))))
+        if not available_now:
+            state.setTimeoutDuration(forget_ms)
+        ordered = sorted(queries, key=lambda q: (queries[q], q is not None, q))
+        yield pd.DataFrame(
+            {"topic": [key[0]], "id": [key[1]], "record": [record], "seq": [seq], "again": [again],
+             "matched_queries": [ordered if keep == "all" else ordered[:1]]}
+        )
+
+    posts = packed.groupBy("topic", "id").applyInPandasWithState(
+        update,
+        "topic string, id string, record string, seq long, again boolean, matched_queries array<string>",
+        "seq long, record string, queries string",
+        "update",
+        "NoTimeout" if available_now else "ProcessingTimeTimeout",
+    )
+    return posts.withColumn("record", F.from_json("record", kind, as_json)).select(
+        "topic", "id", "record.*", "matched_queries", "seq", "again"
+    )
+
+
 def start_ingest(
     payloads: DataFrame,
     reader: Callable[[DataFrame], DataFrame],
@@ -32,12 +95,14 @@ def start_ingest(
     settings: Settings = Settings(),
     keep: str = "all",
     available_now: bool = True,
+    ttl: dt.timedelta = dt.timedelta(days=30),
 ):
     """Start the ingest of a payload stream with the given reader.
 
     Each micro-batch is a load of its own, named after the streaming query's id, which its
     checkpoint keeps, and the batch.  A batch that Spark repeats after a failure replaces its own
     rows, and streams with other checkpoints cannot touch them, so every post is stored once.
+    A post that later micro-batches hit again is scored again with all its queries and revised.
     """
     spark = store.spark
 
@@ -48,11 +113,14 @@ def start_ingest(
         return found
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        posts = collapse_hits(reader(batch), keep)
-        load_id = load_name("stream", query_id(), f"{batch_id:09d}")
-        ingest(posts, store, load_id, F.current_timestamp(), settings)
+        stream = load_name("stream", query_id(), "")
+        load_id = f"{stream}{batch_id:09d}"
+        posts = materialize(batch, "collapsed")
+        ingest(posts.filter("not again").drop("again"), store, load_id, F.current_timestamp(), settings)
+        revise(posts.filter("again").drop("again"), store, stream, load_id, F.current_timestamp(), settings)
 
-    writer = payloads.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    posts = collapsed_stream(reader(payloads), keep, ttl, available_now)
+    writer = posts.writeStream.outputMode("update").foreachBatch(load).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.queryName(name).start()
