@@ -159,8 +159,7 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _TEMPLATES = ", ".join(
-    f"('{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}])"
-    for label, text in license_join.TEMPLATES.items()
+    f"('{label}', {words!r}, {block})" for label, words, block in license_join.paragraphs(license_join.TEMPLATES)
 )
 _PLACES = "\n".join(
     f"""select doc_id, '{label}' as label, i - 1 as place from w, unnest(range(1, len(words) + 1)) t(i)
@@ -171,18 +170,18 @@ _PLACES = "\n".join(
 
 ORACLES = {
     "op7_license_scan": rf"""
-        with d as (select doc_id, lower(coalesce(text, '')) as low from documents),
-        w as (select doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from d),
+        with w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
         p as ({_PLACES}),
         base as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word,
                         list_distinct(list(label)) as labels
                  from p group by doc_id),
-        t(label, words) as (values {_TEMPLATES}),
-        lines as (select doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
-                  from d, unnest(string_split(low, chr(10))) u(line)),
-        m as (select doc_id, label, len(list_intersect(t.words, lines.words)) / len(t.words) as contained
-              from lines, t
-              where len(list_intersect(t.words, lines.words)) >= ceil({license_join.THRESHOLD} * len(t.words) - 1e-9)),
+        t(label, words, block) as (values {_TEMPLATES}),
+        likely as (select doc_id, label, w.words, t.words as template, block,
+                          ceil({license_join.THRESHOLD} * len(t.words) - 1e-9) as need
+                   from w, t where len(list_intersect(t.words, w.words)) >= need),
+        m as (select doc_id, label, len(list_intersect(template, words[i:i + block - 1])) as shared, need,
+                     shared / len(template) as contained
+              from likely, unnest(range(1, len(words) + 1)) u(i) where list_contains(template, words[i]) and shared >= need),
         method as (select doc_id, list_distinct(list(label)) as labels, max(contained) as contained
                    from m group by doc_id)
         select w.doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
