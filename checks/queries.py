@@ -14,8 +14,9 @@ from voicelode.functions import text as text_functions
 from voicelode.functions import topics as topic_functions
 from voicelode.functions import urls as url_functions
 from voicelode.operators import collapse, filters, ranking, report, scoring, tables
-from voicelode.scratch import materialize
+from voicelode.scratch import materialize, scratch_path
 from voicelode.sources.searchplan import TEMPLATES, search_plan
+from voicelode.sources.store import PostStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -442,6 +443,16 @@ def drop_processed(spark, sf):
     return tables.drop_processed(posts(spark, sf), history(spark, sf)).select("id", "platform")
 
 
+@query(f"""with {POSTS_SQL} select id, platform from posts where not is_repost""")
+def drop_stored(spark, sf):
+    """Reposts are stored, one load a platform; filters of the loads choose the folders that a load of all posts reads."""
+    store = PostStore(spark, scratch_path(spark, "store"), few=0)
+    own = materialize(posts(spark, sf).select("id", "platform", "is_repost"), "posts")
+    for platform in ("hn", "reddit", "producthunt", "twitter"):
+        store.write(own.filter((F.col("platform") == platform) & F.col("is_repost")), "history", platform)
+    return tables.drop_processed(own, store.holding("history", own)).select("id", "platform")
+
+
 # The batch holds every second post twice under one id, the copies with other scores.
 _BATCH_SQL = """stored as (select id, relevance_score, seq from scored where seq % 3 = 0),
  batch as (select id, relevance_score, seq from scored union all

@@ -25,15 +25,16 @@ def ingest(
     `load_id` names the load in the store; see `sources.store.load_name`.  The same load can
     be run again: it looks only at what other loads stored and replaces its own rows.  Collected and scored posts are written down, so payloads are
     parsed once, posts are scored once, and the joins with the stored tables are planned
-    from the size of the batch.
+    from the size of the batch.  Of a store with many loads only those that may hold
+    the batch's ids are read.
     """
     posts = materialize(posts, "collected")
-    history = store.read("history", but=load_id)
+    history = store.holding("history", posts, but=load_id)
     fresh = drop_processed(posts, history)
     scored = score_posts(fresh, settings, topic=topic, own_topic=topic is None)
     scored = materialize(scored.withColumn("fetched_at", now), "scored")
 
-    stored = store.read("posts", but=load_id)
+    stored = store.holding("posts", scored, but=load_id)
     store.write(new_posts(stored, scored), "posts", load_id)
     store.write(new_history(history, scored, now), "history", load_id)
     alerts = scored.filter(F.col("relevance_score") >= settings.min_score)

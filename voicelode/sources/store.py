@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from voicelode import schemas
 from voicelode.operators.collapse import first_per_key
 from voicelode.operators.tables import HISTORY_KEY, mark_analyzed, with_insert_defaults
+from voicelode.sources.keyfilters import KeyFilters
 
 TABLES = {
     "posts": schemas.SCORED_POST,
@@ -30,6 +31,8 @@ TABLES = {
     "runs": schemas.RUNS,
 }
 _PARTITIONED = {"posts": ["topic"], "alerts": ["topic"]}
+#: Tables whose loads have filters of their ids.
+_LOOKED_UP = ("posts", "history")
 #: Posts and alerts that a later micro-batch has changed: a table of their own, whose last row of a post counts.
 _REVISED = {"posts": "revisions", "alerts": "raised"}
 
@@ -45,9 +48,11 @@ def load_name(kind: str, of: str, load_id: str) -> str:
 
 
 class PostStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, few: int = 32):
+        """`few`: so many load folders are read as they are; beyond that, filters choose among them."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.few = few
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -86,8 +91,39 @@ class PostStore:
             stored = stored.filter(F.col("load_id") != but)
         return stored.select(*StructType.fromDDL(schema).fieldNames())
 
+    def holding(self, table: str, rows: DataFrame, but: str | None = None) -> DataFrame:
+        """The loads of posts or history that may hold an id of `rows`, whole, but for the load `but`.
+
+        Enough to see which ids are stored; rows are as first written, without later revisions.
+        """
+        filters = self._filters(table)
+        loads = [f.removeprefix("load_id=") for f in filters._folders(self.path(table)) if f.startswith("load_id=")]
+        loads = sorted(load for load in loads if load != but)
+        if len(loads) <= self.few:
+            return self._stored(table, but)
+        known = filters.known()
+        lacking = [load for load in loads if load not in known]
+        if lacking:
+            filters.build(self._loads(table, lacking).select("load_id", "id"), lacking)
+            known = filters.known()
+        found = filters.may_hold(rows.select("id"), {load: known[load] for load in loads if load in known})
+        return self._loads(table, [load for load in loads if load in found or load not in known])
+
+    def _filters(self, table: str) -> KeyFilters:
+        return KeyFilters(self.spark, f"{self.root}/filters-{table}")
+
+    def _loads(self, table: str, loads: list[str]) -> DataFrame:
+        """Some loads of a table; no other folder is listed or read."""
+        if not loads:
+            return self.spark.createDataFrame([], TABLES[table])
+        reader = self.spark.read.schema(TABLES[table]).option("basePath", self.path(table))
+        stored = reader.parquet(*(f"{self.path(table)}/load_id={load}" for load in loads))
+        return stored.select(*StructType.fromDDL(TABLES[table]).fieldNames())
+
     def write(self, df: DataFrame, table: str, load_id: str) -> None:
         """Write one load of a table; a repeated load replaces itself."""
+        if table in _LOOKED_UP:
+            self._filters(table).forget(load_id)
         wanted = [f for f in StructType.fromDDL(TABLES[table]).fields if f.name != "load_id"]
         if table == "posts":
             df = with_insert_defaults(df, {f.name: f.dataType for f in wanted})
