@@ -453,6 +453,20 @@ def drop_stored(spark, sf):
     return tables.drop_processed(own, store.holding("history", own)).select("id", "platform")
 
 
+@query(f"""with {POSTS_SQL} select id, platform, platform as load_id from posts where platform <> 'reddit'
+ union all select id, platform, platform from posts where platform = 'reddit' and not is_repost""")
+def compacted_store(spark, sf):
+    """All posts, one load a platform, compacted; then one load is written anew with fewer rows, and all is compacted again."""
+    store = PostStore(spark, scratch_path(spark, "store"))
+    own = materialize(posts(spark, sf).select("id", "platform", "is_repost"), "posts")
+    for platform in ("hn", "reddit", "producthunt", "twitter"):
+        store.write(own.filter(F.col("platform") == platform), "history", platform)
+    store.compact("history")
+    store.write(own.filter("platform = 'reddit' and not is_repost"), "history", "reddit")
+    store.compact("history")
+    return store.read("history").select("id", "platform", "load_id")
+
+
 # The batch holds every second post twice under one id, the copies with other scores.
 _BATCH_SQL = """stored as (select id, relevance_score, seq from scored where seq % 3 = 0),
  batch as (select id, relevance_score, seq from scored union all

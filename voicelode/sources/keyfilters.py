@@ -61,12 +61,6 @@ class KeyFilters:
         """The loads that have a filter, and its folder."""
         return {f.removeprefix("load_id="): f"{b}/{f}" for b in self._builds() for f in self._folders(b)}
 
-    def forget(self, load_id: str) -> None:
-        """Delete the filter of a load that is about to be written anew."""
-        system = self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for build in self._folders(self.root):
-            system.delete(self._path(f"{self.root}/{build}/load_id={load_id}"), True)
-
     def build(self, rows: DataFrame, loads: list[str]) -> None:
         """Write the filters of `loads`, whose (load_id, id) are `rows`; a load without rows gets an empty one."""
         sizes = rows.groupBy("load_id").agg(F.count("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
