@@ -107,6 +107,20 @@ def test_prefix_is_shortened_until_the_recall():
     assert jaccard_join.recall_at(5, np.array([0.8]), jaccard_join.TREES)[0] > jaccard_join.TARGET_RECALL
 
 
+def test_prefix_depends_on_all_neighbours(documents, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):  # pairs that differ in the last word, and one that differs in two words far apart
+        words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(120)]
+        other = [*words[:30], "one", *words[31:80], "two", *words[81:]] if i == 17 else [*words[:-1], "changed"]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    seen, depth = [], jaccard_join.prefix_depth
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 4, raising=False)
+    monkeypatch.setattr(jaccard_join, "prefix_depth", lambda shown, *a: seen.append(shown) or depth(shown, *a))
+    assert {r.class_id for r in jaccard_join.link_counts(documents(rows)).collect()} == set(range(0, 120, 2))
+    assert 0.75 < seen[0].min() < 0.9 < seen[0].max()
+
+
 def test_neighbours_in_sorted_trees(spark):
     rng = random.Random(8)
     rows = [(t, bytes(x for _ in range(8) for x in (0, rng.randrange(2))), n) for t in range(3) for n in range(40)]

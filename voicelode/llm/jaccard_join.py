@@ -8,7 +8,7 @@ between two sets with the probability of their similarity s.
 A tree is the sorted list of all signatures: sorted by them, the classes below one node of the prefix trie are
 neighbours, and the longest common prefix of two neighbours says from which depth on they part.  Classes
 that share less than `LEAST_DEPTH` values with their neighbours, in a tree, leave it.  Matching starts with
-whole signatures.  A sample of neighbours, with the similarity that their signatures show, tells how like
+whole signatures.  The similarity that the signatures of all neighbours show tells how like
 the pairs are that may reach the threshold; at a depth such a pair has a common prefix in some tree with the
 probability 1 - (1 - s^depth)^trees.  The matched prefix is shortened by one value until that recall
 meets the target for the least similar of them.  (One word of a text replaced changes `size` shingles of n: two texts of n shingles
@@ -47,8 +47,7 @@ TREES = 36
 DEPTH = 8
 LEAST_DEPTH = 4
 TARGET_RECALL = 0.99999
-#: Pairs of neighbours, about, from which the recall is estimated, and what chance may add to the similarity they show.
-SAMPLE = 1 << 14
+#: What chance may add to the similarity that two signatures show.
 DOUBT = 0.03
 #: Texts and shingles of a block, about.
 BLOCK_TEXTS = 128
@@ -171,12 +170,11 @@ def forest(classes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -
 
     pair = near.filter("next is not null").select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v"))
     pairs = scratch.table(pair.distinct(), "neighbours")
-    every = max(1, pairs.count() // SAMPLE)
-    some = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(every)) == 0)
-    some = scratch.table(some, "sample")
+    shown = pairs
     for side, name in (("u", "a"), ("v", "b")):
-        some = some.join(classes.select(F.col("node").alias(side), F.col("paths").alias(name)), side)
-    shown = some.select("a", "b").mapInArrow(_shown, "similarity double").toArrow().column("similarity").to_numpy()
+        shown = shown.join(classes.select(F.col("node").alias(side), F.col("paths").alias(name)), side)
+    shown = shown.select("a", "b").mapInArrow(_shown, "similarity double").distinct()  # few: shares of a signature
+    shown = shown.toArrow().column("similarity").to_numpy()
     depth = prefix_depth(shown, threshold)
 
     keyed = near.filter(F.col("depth") >= depth).select(
@@ -371,7 +369,7 @@ def similarity_links(
         .sortWithinPartitions("left", "right")
     )
     links = scratch.table(placed.mapInArrow(_verify(threshold), "u long, v long, links long"), "links")
-    scratch.drop("sets", "shared", "repeated", "at", "labels", "trees", "neighbours", "sample")
+    scratch.drop("sets", "shared", "repeated", "at", "labels", "trees", "neighbours")
     rows = signed.select("doc_id", "node").join(classes.select("node", F.col("class_id").alias("set_id")), "node")
     return rows, links
 
