@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from voicelode.llm import mixture_pack, pii, tokens
+import pytest
+from voicelode.llm import exact_dedup, jaccard_join, mixture_pack, pii, tokens
 
 
 def corpus():
@@ -38,3 +39,19 @@ def test_stages_take_effect(spark, documents, tmp_path):
 def test_empty_table(spark, documents, tmp_path):
     documents(corpus()).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "stage", [exact_dedup.drop_copies, jaccard_join.drop_near_copies, pii.sanitise], ids=lambda f: f.__name__
+)
+def test_untouched_documents_do_not_move(spark, documents, stage):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if what they are compared with were large
+    try:
+        tree = stage(documents(corpus()))._jdf.queryExecution().optimizedPlan()
+        untouched, touched = tree.children().apply(0).toString(), tree.children().apply(1).toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tree.nodeName() == "Union" and "Filter NOT coalesce" in untouched
+    assert untouched.count("Join ") == untouched.count("strategy=broadcast") == 1
+    # those that are joined by a shuffle have passed the filter
+    assert "Join " in touched and "strategy=broadcast" in touched

@@ -87,12 +87,25 @@ def repeated_filter(hashes: DataFrame, scratch: Scratch) -> tuple[DataFrame, int
     words = filter_words(hashes.count())
     marked = mark_candidates(hashes, scratch.table(repeated_bits(hashes, words), "bits"), words)
     again = marked.filter("maybe_repeated").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    again = scratch.table(again, "again")
-    words = min(filter_words(again.count()), MOST_WORDS)
-    bits = again.groupBy(_word(F.col("h"), words).alias("word")).agg(F.bit_or(_mask(F.col("h"))).alias("seen_twice"))
+    return key_filter(scratch.table(again, "again"), scratch)
+
+
+def key_filter(hashes: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """A filter (word, seen_twice) of the values of h, and its number of words; small enough to be broadcast."""
+    words = min(filter_words(hashes.count()), MOST_WORDS)
+    bits = hashes.groupBy(_word(F.col("h"), words).alias("word")).agg(F.bit_or(_mask(F.col("h"))).alias("seen_twice"))
     return scratch.table(bits, "filter"), words
 
 
+def mark_known(rows: DataFrame, hashes: DataFrame, scratch: Scratch) -> DataFrame:
+    """`rows` (with h) and a column `maybe_known`: true where h is one of `hashes`, and rarely elsewhere.
+
+    Whole documents are marked where they are, however many hashes there are; the caller moves the marked ones.
+    """
+    bits, words = key_filter(hashes, scratch)
+    return mark_candidates(rows, F.broadcast(bits), words).withColumnRenamed("maybe_repeated", "maybe_known")
+
+
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -149,7 +162,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """`docs` without exact copies, all columns as they were.
 
     Rows that are certainly alone are passed on where they are; of the others the winner of each
-    text is fetched once, whatever the group's size.
+    text is fetched once, whatever the group's size, and the rest do not move.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(
@@ -166,7 +179,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     candidates = marked.filter("maybe_repeated").withColumn("sha", F.sha2(F.col("t").cast("binary"), 256))
     best = candidates.groupBy("sha").agg(F.min(order).alias("best"))
     best = scratch.table(best, "best")
-    keepers = candidates.join(best, "sha").filter(
+    # of the candidates only those move that may stay: their text, length and id are those of a winner
+    places = best.select(F.xxhash64("sha", -F.col("best.less"), F.col("best.id")).alias("h"))
+    placed = candidates.drop("h", "t").withColumn("h", F.xxhash64("sha", "n", "id"))
+    keepers = mark_known(placed, places, scratch).filter("maybe_known").join(best, "sha").filter(
         (F.col("n") == -F.col("best.less")) & F.col("id").eqNullSafe(F.col("best.id"))
     )
     return alone.unionByName(keepers.dropDuplicates(["sha"]).select("row.*"))

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from voicelode.llm.common import Scratch, SpanHasher, bloom, maybe_in, mix64, small_batches
 from voicelode.llm.components import components
+from voicelode.llm.exact_dedup import mark_known
 from voicelode.llm.words import ALNUM, Words, lowered, shingles
 
 THRESHOLD = 0.8
@@ -406,4 +407,9 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int =
     grouped, keep = _grouped(*similarity_links(docs, scratch, threshold, size), scratch)
     gone = grouped.join(keep, "label").filter("doc_id != group_id").select("doc_id").distinct()
     gone = scratch.table(gone.join(keep.select(F.col("group_id").alias("doc_id")), "doc_id", "left_anti"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    scratch.drop("signatures", "classes", "members", "pairs", "links", "grouped", "groups")
+    # documents that certainly stay do not move
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("doc_id").alias("h"))
+    marked = mark_known(rows, gone.select(F.xxhash64("doc_id").alias("h")), scratch)
+    stay = marked.filter(~F.col("maybe_known")).select("row.*")
+    return stay.unionByName(marked.filter("maybe_known").join(gone, "doc_id", "left_anti").select("row.*"))

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voicelode.llm.common import Scratch, SpanHasher, bloom, maybe_in, small_batches, texts_of
+from voicelode.llm.exact_dedup import mark_known
 from voicelode.llm.words import ALNUM, Words, lowered
 
 KINDS = ("email", "ip", "card", "phone")
@@ -419,27 +420,32 @@ def clean_text(text: str, base: str, terms: list | None) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with sanitised texts (and n_chars to match, where there is such a column); no row goes.
 
-    Texts without spans are not touched.
+    Texts without spans are not touched, and but for a few that pass the filter of those with spans they do not move.
     """
     scratch = Scratch(docs.sparkSession)
     spans = protected(docs, scratch).filter("base != '' or terms is not null")
     spans = spans.select("doc_id", "text_key", "base", "terms").dropDuplicates(["doc_id", "text_key"])
     spans = scratch.table(spans, "spans")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
-    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
-    touched = joined.filter("base is not null").select("row", "base", "terms")
+    rows = rows.withColumn("h", F.xxhash64("id", "key"))
+    marked = mark_known(rows, spans.select(F.xxhash64("doc_id", "text_key").alias("h")), scratch)
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    found = marked.filter("maybe_known").join(spans, same, "left").select("row", "base", "terms")
 
     def clean(batches):
         for batch in batches:
             texts = pa.compute.struct_field(batch.column("row"), "text").to_pylist()
             found = zip(texts, batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True)
-            new = [clean_text(*x) for x in found]
+            new = [None if base is None else clean_text(text, base, terms) for text, base, terms in found]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "new"])
 
     fields = rows.schema["row"].dataType
-    cleaned = touched.mapInArrow(clean, T.StructType().add("row", fields).add("new", "string"))
+    cleaned = found.mapInArrow(clean, T.StructType().add("row", fields).add("new", "string"))
     new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("new").cast(fields["n_chars"].dataType)
-    cleaned = cleaned.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
-    return joined.filter("base is null").select("row.*").unionByName(cleaned)
+    old = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    cleaned = cleaned.select(
+        *(F.when(F.col("new").isNotNull(), new[c]).otherwise(old[c]).alias(c) if c in new else old[c] for c in docs.columns)
+    )
+    return marked.filter(~F.col("maybe_known")).select("row.*").unionByName(cleaned)
