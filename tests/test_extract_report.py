@@ -196,3 +196,8 @@ def test_import_run(spark, tmp_path, model):
     assert store.read("posts").count() == 1
     assert "| X/Twitter posts | 2 |" in lines_of(done.report_path)
     assert runs.run_import(spark, str(path), store, "API testing", str(tmp_path / "out"), NOW, "l2") is None
+
+
+def test_responses_are_parsed_once(spark):
+    plan = extract.rejected_responses(response_rows(spark, "[]", "no json"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("from_json") == 1

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voicelode import schemas, values
 from voicelode.functions.text import strip
 from voicelode.operators.ranking import PAYLOAD_FIELDS, analysis_payload, number_rows
+from voicelode.operators.scoring import compute_once
 from voicelode.scratch import materialize
 from voicelode.settings import Settings
 
@@ -90,13 +91,18 @@ def response_text(response: Column) -> Column:
     return strip(F.regexp_replace(closed, r"^json", ""))
 
 
-def _items(text: Column) -> Column:
+def _with_items(responses: DataFrame) -> DataFrame:
+    """Add `items`, the array of a readable response; its text is cut out and parsed once per row."""
+    cut = compute_once(responses, {"_text": response_text(F.col("response"))})
+    text = F.col("_text")
     # A bare object would also parse as one item, so the outer brackets are required.  The parser stops
     # behind the first value; as a field in front of another one the array must be the whole text.
     is_array = F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]"))
     framed = F.concat(F.lit('{"items":'), text, F.lit(',"whole":true}'))
     parsed = F.from_json(framed, f"items {schemas.RESPONSE_ITEMS}, whole boolean")
-    return F.when(is_array & F.coalesce(parsed["whole"], F.lit(False)), parsed["items"])
+    read = compute_once(cut, {"_read": F.when(is_array, parsed)})
+    items = F.when(F.coalesce(F.col("_read.whole"), F.lit(False)), F.col("_read.items"))
+    return read.withColumn("items", items).drop("_text", "_read")
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -114,8 +120,8 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         lambda q: F.coalesce(F.get_json_object(q, "$.text"), q),
     )
     parsed = (
-        responses.withColumn("text", response_text(F.col("response")))
-        .select("topic", "batch", F.posexplode_outer(_items(F.col("text"))).alias("pos", "item"))
+        _with_items(responses)
+        .select("topic", "batch", F.posexplode_outer("items").alias("pos", "item"))
         .filter("item is not null")
         .select(
             "topic", "batch", "pos",
@@ -135,11 +141,10 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 def rejected_responses(responses: DataFrame) -> DataFrame:
     """Batches without a readable response, with the reason."""
-    text = response_text(F.col("response"))
     reason = F.when(F.col("response").isNull(), F.coalesce("error", F.lit("no response"))).when(
-        _items(text).isNull(), F.lit("not a JSON array")
+        F.col("items").isNull(), F.lit("not a JSON array")
     )
-    return responses.withColumn("reason", reason).filter("reason is not null").select(
+    return _with_items(responses).withColumn("reason", reason).filter("reason is not null").select(
         "topic", "batch", "reason", "response"
     )
 
