@@ -422,7 +422,8 @@ def rejected_imports(spark, sf):
     # an object behind the last comma; cut-off arrays have no end
     ends = numbers.filter("n % 3 <> 2").select("n", last.alias("place"), F.when(F.col("n") % 3 == 1, '{"id":"end"}]}').otherwise('{"id":"end"}]').alias("value"))
     rows = body.unionByName(heads).unionByName(ends)
-    rows = rows.repartition("n").sortWithinPartitions("n", "place")
+    # a task of its own for every file: a hash may put several into one
+    rows = rows.repartitionById(12, F.col("n").cast("int")).sortWithinPartitions("n", "place")
     rows.select("value", F.col("n").alias("file_no")).write.option("lineSep", "\n").partitionBy("file_no").text(folder)
     return imports.rejected_imports(spark, folder).select(
         F.regexp_extract("file", r"file_no=(\d+)", 1).cast("bigint").alias("n"), "reason"
