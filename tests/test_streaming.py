@@ -11,7 +11,7 @@ from voicelode.settings import Settings
 from voicelode.sources import payloads
 from voicelode.sources.store import PostStore
 from voicelode.streaming.dedup import stream_dedup
-from voicelode.streaming.ingest import read_stream, start_ingest
+from voicelode.streaming.ingest import collapsed_stream, read_stream, start_ingest
 
 COLUMNS = ["id", "body", "points", "topic", "pain_score", "demand_score", "relevance_score"]
 
@@ -115,3 +115,47 @@ def test_streaming_dedup(spark, tmp_path):
     got = spark.read.schema(frame.schema).parquet(str(tmp_path / "out"))
     assert sorted((r["id"], r["platform"]) for r in got.collect()) == [
         ("a", "hn"), ("a", "x"), ("b", "hn")]
+
+
+def collapsed(spark, hits, folder, progress, **options):
+    """What each micro-batch of a stream of hits gives out; every file is a micro-batch."""
+    schema = "topic string, id string, query string, hit_seq long, body string, at timestamp"
+    folder.mkdir(exist_ok=True)
+    for n, rows in enumerate(hits):
+        path = folder / f"{n}.json"
+        lines = [dict(zip(("topic", "id", "query", "hit_seq", "body", "at"), (*r, "2026-01-01T00:00:00Z"), strict=True)) for r in rows]
+        path.write_text("\n".join(map(json.dumps, lines)))
+        os.utime(path, (n * 100 + 1e9,) * 2)
+    out = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+    writer = collapsed_stream(stream, **options).writeStream.outputMode("update").option("checkpointLocation", str(progress))
+    writer = writer.foreachBatch(lambda batch, n: out.append(sorted(
+        (r.topic, r.id, r.body, r.matched_queries, r.seq, r.again, r["at"].year) for r in batch.collect())))
+    if options.get("available_now", True):
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query = writer.start()
+        query.processAllAvailable()
+        query.stop()
+    return [b for b in out if b]
+
+
+@pytest.mark.parametrize("keep", ["all", "first"])
+def test_a_stream_that_ends_keeps_posts_like_one_that_runs_on(spark, tmp_path, keep):
+    hits = [
+        [("t", "1", "b", 5, "x"), ("t", "1", "a", 5, "x"), ("u", "1", None, 9, "y")],
+        [("t", "1", "b", 2, "z"), ("t", "1", "c", 3, "z"), ("t", "2", "a", 4, "w")],
+        [("t", "1", "b", 2, "other"), ("u", "1", "a", 9, "later")],
+    ]
+    ends = collapsed(spark, hits, tmp_path / "a", tmp_path / "p", keep=keep)
+    runs = collapsed(spark, hits, tmp_path / "b", tmp_path / "q", keep=keep, available_now=False)
+    assert ends == runs and len(ends) == 3
+    assert ends[1][0] == ("t", "1", "z", ["b", "c", "a"] if keep == "all" else ["b"], 2, True, 2026)
+    # of hits in the same place the first to come stays
+    assert ends[2][0][2:] == ends[1][0][2:] and ends[2][1][:3] == ("u", "1", "y")
+
+
+def test_a_stream_that_ends_runs_no_python(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    hits = spark.readStream.schema("topic string, id string, query string, hit_seq long, body string").json(str(tmp_path / "in"))
+    assert "Pandas" not in collapsed_stream(hits)._jdf.queryExecution().logical().toString()
