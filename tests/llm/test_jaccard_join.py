@@ -150,6 +150,39 @@ def test_shingles_and_threshold_are_parameters(documents):
     assert groups() == [1, 2] and groups(threshold=0.7) == [1, 1] and groups(size=2) == [1, 1]
 
 
+def test_small_tables_are_few_files(documents, spark, monkeypatch):
+    import glob
+
+    files, table = {}, Scratch.table
+
+    def counted(self, df, name, *more):
+        out = table(self, df, name, *more)
+        files[name] = len(glob.glob(f"{self._paths[name].removeprefix('file://')}/part-*"))
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = corpus()[:320]
+        assert sorted(map(tuple, jaccard_join.link_counts(documents(rows)).collect())) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rounds = [n for n in files if n.startswith("edges-")]
+    assert rounds and all(files[n] <= 2 for n in [*rounds, "neighbours", "repeated", "shared", "labels", "members", "at", "groups"])
+
+
+def test_scratch_table_of_many_rows_keeps_its_tasks(spark):
+    rows = spark.range(0, 100_000, 1, 8)
+    assert Scratch(spark).table(rows, "known", 100_000).count() == 100_000
+    for n, tasks in ((0, 1), (1 << 14, 1), (100_000, 7), (10**9, 8)):
+        written = Scratch(spark).table(rows.limit(n) if not n else rows, "known", n)
+        assert len(written.inputFiles()) == tasks
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100)]
     star = [(1000, 1000 + i) for i in range(1, 200)]

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from voicelode.llm.common import Scratch
 
 
-def _smallest(edges: DataFrame, name: str, scratch: Scratch) -> DataFrame:
-    """Each edge (u, v) becomes (v, the smallest node next to u)."""
-    low = scratch.table(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low")), f"{name}-low")
+def _smallest(edges: DataFrame, name: str, scratch: Scratch, rows: int) -> DataFrame:
+    """Each edge (u, v) becomes (v, the smallest node next to u); there are `rows` edges at most."""
+    low = scratch.table(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low")), f"{name}-low", rows)
     return edges.join(low, "u")
 
 
@@ -25,17 +25,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataF
     edges = scratch.table(
         edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name
     )
-    last, step = (0, None), 0
-    while not edges.isEmpty():
+    last, step = (edges.count(), None), 0
+    while last[0]:
+        rows = 2 * last[0]  # of both directions; the steps of a round have no more
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = scratch.table(both, f"{name}-both-{step}")
-        large = _smallest(both, f"{name}-large-{step}", scratch).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = scratch.table(large.filter("u != v").distinct(), f"{name}-star-{step}")
-        small = _smallest(large, f"{name}-small-{step}", scratch)
+        both = scratch.table(both, f"{name}-both-{step}", rows)
+        large = _smallest(both, f"{name}-large-{step}", scratch, rows).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = scratch.table(large.filter("u != v").distinct(), f"{name}-star-{step}", rows)
+        small = _smallest(large, f"{name}-small-{step}", scratch, rows)
         linked = small.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
             small.select("u", F.col("low").alias("v"))
         )
-        edges = scratch.table(linked.filter("u != v").distinct(), f"{name}-next-{step}")
+        edges = scratch.table(linked.filter("u != v").distinct(), f"{name}-next-{step}", rows)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         scratch.drop(f"{name}-both-{step}", f"{name}-star-{step}", f"{name}-large-{step}-low", f"{name}-small-{step}-low")
         if now == last:

@@ -168,9 +168,10 @@ def forest(classes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -
     ordered = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     near = ordered.mapInArrow(_neighbours, "tree int, path binary, node long, depth int, next long")
     near = scratch.table(near, "trees")
+    rows = near.count()
 
     pair = near.filter("next is not null").select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v"))
-    pairs = scratch.table(pair.distinct(), "neighbours")
+    pairs = scratch.table(pair.distinct(), "neighbours", rows)
     shown = pairs
     for side, name in (("u", "a"), ("v", "b")):
         shown = shown.join(classes.select(F.col("node").alias(side), F.col("paths").alias(name)), side)
@@ -182,7 +183,7 @@ def forest(classes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -
         "node", F.xxhash64("tree", F.substring("path", 1, 2 * depth)).alias("key")
     )
     repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return keyed.join(scratch.table(repeated, "repeated"), "key")
+    return scratch.table(keyed.join(scratch.table(repeated, "repeated", rows), "key"), "shared", rows)
 
 
 def intersections(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -288,9 +289,10 @@ def _verify(threshold: float):
 
 def _block_pairs(shared: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(node, class_id, block) of the classes below common trie nodes, and the pairs (left, right) of blocks to compare."""
+    rows = shared.count()
     low = shared.groupBy("key").agg(F.min("node").alias("low"))
     labels = shared.join(low, "key").groupBy("node").agg(F.min("low").alias("label"))
-    labels = scratch.table(labels.join(classes, "node"), "labels")
+    labels = scratch.table(labels.join(classes, "node"), "labels", rows)
     volume = labels.groupBy("label").agg(
         F.greatest(
             F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1).cast("long")
@@ -299,9 +301,9 @@ def _block_pairs(shared: DataFrame, classes: DataFrame, scratch: Scratch) -> tup
     members = labels.join(volume, "label").select(
         "node", "class_id", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")
     )
-    members = scratch.table(members, "members")
+    members = scratch.table(members, "members", rows)
     at = shared.join(members, "node").select("key", "block").distinct()
-    at = scratch.table(at, "at")
+    at = scratch.table(at, "at", rows)
     pairs = (
         at.withColumnRenamed("block", "left")
         .join(at.withColumnRenamed("block", "right"), "key")
@@ -324,7 +326,7 @@ def similarity_links(
         F.min("doc_id").alias("class_id"), F.first("size").alias("size"), F.first("paths").alias("paths")
     )
     classes = scratch.table(classes, "classes")
-    shared = scratch.table(forest(classes, scratch, threshold), "shared")
+    shared = forest(classes, scratch, threshold)
     members, pairs = _block_pairs(shared, classes.select("node", "class_id", "size"), scratch)
 
     def sets(batches):
@@ -380,7 +382,8 @@ def _grouped(rows: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[DataF
     labels = components(links.filter("v is not null").select("u", "v"), scratch).withColumnRenamed("node", "_node")
     grouped = rows.join(labels, rows["node"] == F.col("_node"), "left")
     grouped = scratch.table(grouped.withColumn("label", F.coalesce("label", "node")).drop("_node"), "grouped")
-    return grouped, scratch.table(grouped.groupBy("label").agg(F.min("doc_id").alias("group_id")), "groups")
+    groups = grouped.groupBy("label").agg(F.min("doc_id").alias("group_id"))
+    return grouped, scratch.table(groups, "groups", grouped.count())
 
 
 def link_counts(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
