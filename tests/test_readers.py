@@ -188,3 +188,26 @@ def test_boolean_queries_match_as_defined(spark, size, monkeypatch):
     assert got == want
     again = table.unionByName(table)  # equal queries stay apart
     assert match_queries(frame, again).count() == 2 * len(want)
+
+
+def test_equal_queries_are_looked_for_once(spark, monkeypatch):
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or broadcast(self, x))
+    queries = [(n, f"q{n % 7}", ["ai", "tool", None, "AI"][n % 4], ["x", None] if n % 3 else ["X", "y"]) for n in range(600)]
+    table = spark.createDataFrame(queries, "query_no int, query string, phrase string, alternatives array<string>")
+    posts = [("a", "an ai tool", "y"), ("b", "ai", "x"), ("b", "ai", "x"), ("c", None, "tool"), (None, "tools", "xy")]
+    frame = spark.createDataFrame(posts, "id string, title string, body string")
+    want = sorted(
+        (id_ or "", query, n)
+        for id_, title, body in posts
+        for n, query, phrase, alternatives in queries
+        if phrase and phrase.lower() in f"{title or ''} {body}" and any(a.lower() in f"{title or ''} {body}" for a in alternatives if a)
+    )
+    for size in (1 << 16, 64):  # one chunk, and more queries of a pattern than a chunk takes
+        sent.clear()
+        monkeypatch.setattr(filters, "CHUNK_QUERIES", size)
+        got = match_queries(frame, table)
+        assert sorted((r["id"] or "", r["query"], r["query_no"]) for r in got.collect()) == want
+        patterns = [list(zip(*x)) for x in sent if isinstance(x, tuple)]
+        assert patterns and all(len(set(p)) == len(p) <= 4 for p in patterns)
+        assert size > 64 or len(patterns) == 8  # 450 usable ones
