@@ -175,6 +175,19 @@ def test_small_tables_are_few_files(documents, spark, monkeypatch):
     assert rounds and all(files[n] <= 2 for n in [*rounds, "neighbours", "repeated", "shared", "labels", "members", "at", "groups"])
 
 
+def test_texts_of_members_pass_python_once(documents, monkeypatch):
+    plans, table = {}, Scratch.table
+
+    def planned(self, df, name, *more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return table(self, df, name, *more)
+
+    monkeypatch.setattr(Scratch, "table", planned)
+    rows = [(1, "a b c d e f"), (2, "a b c d e f!"), (None, "a b c d e f g"), (3, "h i j k l m"), (4, None)]
+    assert jaccard_join.link_counts(documents(rows)).count() == 5
+    assert plans["sets"].count("MapInArrow") == 1
+
+
 def test_scratch_table_of_many_rows_keeps_its_tasks(spark):
     rows = spark.range(0, 100_000, 1, 8)
     assert Scratch(spark).table(rows, "known", 100_000).count() == 100_000

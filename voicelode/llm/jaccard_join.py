@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voicelode.llm.common import Scratch, SpanHasher, bloom, maybe_in, mix64, small_batches
+from voicelode.llm.common import Scratch, SpanHasher, mix64, small_batches
 from voicelode.llm.components import components
 from voicelode.llm.exact_dedup import mark_known
 from voicelode.llm.words import ALNUM, Words, lowered, shingles
@@ -343,15 +343,9 @@ def similarity_links(
                 names=["node", "block", "shingles"],
             )
 
-    # texts that cannot be members do not move
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(members.select(F.xxhash64("class_id").alias("h"))))
-
-    def likely(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(maybe_in(wanted.value, batch.column("h").to_numpy(zero_copy_only=False))))
-
+    # texts that cannot be members do not move; a second Python step in these tasks would double an executor's workers
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    rows = rows.mapInArrow(likely, rows.schema).select("doc_id", "text")
+    rows = mark_known(rows, members.select(F.xxhash64("class_id").alias("h")), scratch).filter("maybe_known")
     chosen = rows.join(members.withColumnRenamed("class_id", "doc_id"), "doc_id").select("node", "block", "text")
     with_sets = scratch.table(chosen.mapInArrow(sets, "node long, block long, shingles array<long>"), "sets")
     side = F.explode(
