@@ -23,7 +23,7 @@ from checks.queries import (
 from checks.views import SETTINGS, posts, table
 from voicelode.operators import extract
 from voicelode.operators.collapse import collapse_hits, first_per_key
-from voicelode.scratch import scratch_path
+from voicelode.scratch import drop_path, scratch_path
 from voicelode.sources import imports, payloads
 from voicelode.sources.store import PostStore
 from voicelode.streaming.dedup import stream_dedup
@@ -244,6 +244,11 @@ def tweet_lines(spark, sf) -> DataFrame:
     return lines(documents(spark, sf), hit, lambda hits: [hits.alias("data")], views.TOPIC)
 
 
+def land(found: DataFrame, path: str) -> None:
+    """Write landed lines, which hold whole texts, as compressed files."""
+    found.write.option("zlib.compress.level", "BEST_SPEED").text(path, compression="gzip")
+
+
 _TWEET_SQL = f"""concat('x_', cast(doc_id as varchar)) as id,
  concat('https://x.com/i/status/', cast(doc_id as varchar)) as url, '' as title, text as body,
  concat('a', cast(doc_id % 50 as varchar)) as author, 'twitter' as community,
@@ -444,11 +449,14 @@ def stream_two_kinds(spark, sf):
         ("tweets", tweet_lines(spark, sf), payloads.read_tweets),
         ("hn_comments", comments, payloads.read_hn_comments),
     ):
-        landed = scratch_path(spark, "landed")
-        landed_lines.repartition(2).write.text(landed)
+        landed, progress = scratch_path(spark, "landed"), scratch_path(spark, "progress")
+        land(landed_lines, landed)
         start_ingest(
-            read_stream(spark, landed, kind), reader, store, scratch_path(spark, "progress"), settings=SETTINGS, keep="first"
+            read_stream(spark, landed, kind), reader, store, progress, settings=SETTINGS, keep="first"
         ).awaitTermination()
+        # a stream that has ended needs neither its files nor its state
+        drop_path(spark, landed)
+        drop_path(spark, progress)
     seen = store.read("history").select("id", "platform")
     return store.read("posts").select("id", "platform").join(seen, ["id", "platform"])
 
@@ -483,8 +491,8 @@ def stream_ingest(spark, sf):
  select id, body, points, concat('query ', cast(cast(replace(id, 'x_', '') as bigint) // 30 as varchar), '|later')
   as matched_queries, topic_relevance, relevance_score, relevance_score >= 5 as alert from scored""")
 def stream_hits_over_batches(spark, sf):
-    """Every post is hit by two queries in files of their own, the later hit with another text; each file is a micro-batch."""
-    landed = scratch_path(spark, "landed")
+    """Every post is hit by two queries in lines of their own, the later hit with another text; a quarter of the files is a micro-batch."""
+    landed, progress = scratch_path(spark, "landed"), scratch_path(spark, "progress")
     first = payloads.parse_payloads(tweet_lines(spark, sf), "tweets")
     later = first.withColumns(
         {
@@ -493,12 +501,15 @@ def stream_hits_over_batches(spark, sf):
             "data": F.transform("data", lambda d: d.withField("text", F.lit("later"))),
         }
     )
-    first.unionByName(later).select(F.to_json(F.struct("*")).alias("value")).repartition(4).write.text(landed)
+    files = max(1, spark.sparkContext.defaultParallelism // 4)  # of a micro-batch; a task reads each whole
+    land(first.unionByName(later).select(F.to_json(F.struct("*")).alias("value")).repartition(4 * files), landed)
     store = PostStore(spark, scratch_path(spark, "store"))
     start_ingest(
-        read_stream(spark, landed, "tweets", files_per_batch=1), payloads.read_tweets, store,
-        scratch_path(spark, "progress"), settings=SETTINGS, keep="all",
+        read_stream(spark, landed, "tweets", files_per_batch=files), payloads.read_tweets, store,
+        progress, settings=SETTINGS, keep="all",
     ).awaitTermination()
+    drop_path(spark, landed)
+    drop_path(spark, progress)
     return store.read("posts").select(
         "id", "body", "points", joined("matched_queries").alias("matched_queries"), "topic_relevance", "relevance_score",
         (F.col("relevance_score") >= SETTINGS.min_score).alias("alert"),

@@ -5,7 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from voicelode import scratch
 from voicelode.operators.collapse import collapse_hits
+from voicelode.operators.tables import drop_processed
 from voicelode.plans.ingest import ingest
 from voicelode.settings import Settings
 from voicelode.sources import payloads
@@ -153,3 +155,31 @@ def test_a_stream_that_ends_runs_no_python(spark, tmp_path):
     (tmp_path / "in").mkdir()
     hits = spark.readStream.schema("topic string, id string, query string, hit_seq long, body string").json(str(tmp_path / "in"))
     assert "Pandas" not in collapsed_stream(hits)._jdf.queryExecution().logical().toString()
+
+
+def test_a_stream_leaves_no_working_tables(spark, tmp_path):
+    # every load works with tables that hold whole posts; when it is stored they are dropped
+    folder, store = tmp_path / "landed", PostStore(spark, str(tmp_path / "s"))
+    scratch.materialize(spark.range(1), "first")
+    before = set(os.listdir(scratch.scratch_path(spark, "").rsplit("/", 1)[0]))
+    land(folder, {"a.json": range(0, 6), "b.json": range(4, 9)})
+    run(spark, folder, store, tmp_path / "progress")
+    left = set(os.listdir(scratch.scratch_path(spark, "").rsplit("/", 1)[0])) - before
+    assert not {name.split("-")[0] for name in left} & {"collapsed", "collected", "scored", "revised"}
+    assert store.read("posts").count() == 9
+
+
+def test_a_first_load_joins_nothing(spark, tmp_path):
+    store = PostStore(spark, str(tmp_path / "s"))
+    posts = spark.createDataFrame([("a", "hn", "long text")], "id string, platform string, body string")
+    plan = drop_processed(posts, store.holding("history", posts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_only_scratch_folders_are_dropped(spark, tmp_path):
+    with pytest.raises(ValueError):
+        scratch.drop_path(spark, str(tmp_path))
+    with scratch.dropped_after(spark):
+        path = scratch.materialize(spark.range(3), "step").inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+        assert os.path.exists("/" + path.lstrip("/"))
+    assert not os.path.exists("/" + path.lstrip("/"))

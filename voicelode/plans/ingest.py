@@ -19,6 +19,7 @@ def ingest(
     now: Column,
     settings: Settings = Settings(),
     topic: str | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Run one load and return its scored posts.
 
@@ -26,13 +27,13 @@ def ingest(
     be run again: it looks only at what other loads stored and replaces its own rows.  Collected and scored posts are written down, so payloads are
     parsed once, posts are scored once, and the joins with the stored tables are planned
     from the size of the batch.  Of a store with many loads only those that may hold
-    the batch's ids are read.
+    the batch's ids are read.  With `written`, the posts are read from a written table already.
     """
-    posts = materialize(posts, "collected")
+    posts = posts if written else materialize(posts, "collected", "zstd")
     history = store.holding("history", posts, but=load_id)
     fresh = drop_processed(posts, history)
     scored = score_posts(fresh, settings, topic=topic, own_topic=topic is None)
-    scored = materialize(scored.withColumn("fetched_at", now), "scored")
+    scored = materialize(scored.withColumn("fetched_at", now), "scored", "zstd")
 
     stored = store.holding("posts", scored, but=load_id)
     store.write(new_posts(stored, scored), "posts", load_id)
@@ -51,7 +52,7 @@ def revise(
     """
     stored = store.read("posts", but=load_id).filter(F.col("load_id").startswith(stream))
     own = posts.join(stored.select("id", "topic"), ["id", "topic"], "left_semi")
-    scored = materialize(score_posts(own, settings, own_topic=True).withColumn("fetched_at", now), "revised")
+    scored = materialize(score_posts(own, settings, own_topic=True).withColumn("fetched_at", now), "revised", "zstd")
     store.write(scored, "revisions", load_id)
     store.write(scored.filter(F.col("relevance_score") >= settings.min_score), "raised", load_id)
     return scored

@@ -164,7 +164,8 @@ class PostStore:
                 rows = rows.filter(~F.col("load_id").isin(without))
             parts.append(rows.withColumn("load_id", F.lit(self._filter_name(unit, at))) if named else rows)
         if not parts:
-            return self.spark.createDataFrame([], TABLES[table])
+            # the optimizer knows that nothing is left of it, so joins with it go and move no rows
+            return self.spark.createDataFrame([], TABLES[table]).limit(0)
         parts = [rows.select(*columns) for rows in parts]
         while len(parts) > 1:  # a flat tree of unions
             parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) - len(parts) % 2 :]
@@ -188,7 +189,7 @@ class PostStore:
         writer = df.select(*columns).write.mode("overwrite")
         if table in _PARTITIONED:
             writer = writer.partitionBy(*_PARTITIONED[table])
-        writer.parquet(f"{folder}/load_id={load_id}")
+        writer.parquet(f"{folder}/load_id={load_id}", compression="zstd")
         if again:
             snapshots.publish(lambda latest: latest.with_moved(load_id, folder))
 
@@ -217,7 +218,7 @@ class PostStore:
         if table in _PARTITIONED:
             writer = writer.partitionBy(*_PARTITIONED[table])
         folder = self._new_folder(table)
-        writer.parquet(folder)
+        writer.parquet(folder, compression="zstd")
         return snapshots.publish(lambda latest: latest.with_part(manifest, own, folder, settle))
 
     def vacuum(self, table: str, older_than: float = 7 * 86400.0) -> list[str]:
